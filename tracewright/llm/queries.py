@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewright.llm.simhash import op2_simhash_near_dedup
+from tracewright.llm.sstable import op4_token_sstable
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
+        "op4_token_sstable": op4_token_sstable,
     }
 
 
