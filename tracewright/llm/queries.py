@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracewright.llm.simhash import op2_simhash_near_dedup
 from tracewright.llm.sstable import op4_token_sstable
+from tracewright.llm.substring import op9_substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op4_token_sstable": op4_token_sstable,
+        "op9_substring_dedup": op9_substring_dedup,
     }
 
 
