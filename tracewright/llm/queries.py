@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewright.llm.ctw import op6_ctw_scores
 from tracewright.llm.simhash import op2_simhash_near_dedup
 from tracewright.llm.sstable import op4_token_sstable
 from tracewright.llm.substring import op9_substring_dedup
@@ -15,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op4_token_sstable": op4_token_sstable,
+        "op6_ctw_scores": op6_ctw_scores,
         "op9_substring_dedup": op9_substring_dedup,
     }
 
