@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewright.llm.ctw import op6_ctw_scores
+from tracewright.llm.langid import op7_language_id
 from tracewright.llm.simhash import op2_simhash_near_dedup
 from tracewright.llm.sstable import op4_token_sstable
 from tracewright.llm.substring import op9_substring_dedup
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op4_token_sstable": op4_token_sstable,
         "op6_ctw_scores": op6_ctw_scores,
+        "op7_language_id": op7_language_id,
         "op9_substring_dedup": op9_substring_dedup,
     }
 
