@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewright.llm.ann import op8_kmeans_tree_ann
 from tracewright.llm.ctw import op6_ctw_scores
 from tracewright.llm.langid import op7_language_id
 from tracewright.llm.simhash import op2_simhash_near_dedup
 from tracewright.llm.sstable import op4_token_sstable
 from tracewright.llm.substring import op9_substring_dedup
+from tracewright.llm.toxicity import op10_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,7 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_sstable": op4_token_sstable,
         "op6_ctw_scores": op6_ctw_scores,
         "op7_language_id": op7_language_id,
+        "op8_kmeans_tree_ann": op8_kmeans_tree_ann,
         "op9_substring_dedup": op9_substring_dedup,
+        "op10_toxicity": op10_toxicity,
     }
 
 
