@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tracewright.llm.ann import op8_kmeans_tree_ann
 from tracewright.llm.ctw import op6_ctw_scores
+from tracewright.llm.html_text import op3_html_mincut
 from tracewright.llm.langid import op7_language_id
 from tracewright.llm.simhash import op2_simhash_near_dedup
 from tracewright.llm.sstable import op4_token_sstable
@@ -18,6 +19,7 @@ from tracewright.llm.toxicity import op10_toxicity
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
+        "op3_html_mincut": op3_html_mincut,
         "op4_token_sstable": op4_token_sstable,
         "op6_ctw_scores": op6_ctw_scores,
         "op7_language_id": op7_language_id,
