@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewright.llm import decontaminate
 from tracewright.llm.ann import op8_kmeans_tree_ann
 from tracewright.llm.ctw import op6_ctw_scores
+from tracewright.llm.decontaminate import op1_decontamination
 from tracewright.llm.html_text import op3_html_mincut
 from tracewright.llm.langid import op7_language_id
 from tracewright.llm.simhash import op2_simhash_near_dedup
@@ -18,6 +20,7 @@ from tracewright.llm.toxicity import op10_toxicity
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op2_simhash_near_dedup": op2_simhash_near_dedup,
         "op3_html_mincut": op3_html_mincut,
         "op4_token_sstable": op4_token_sstable,
@@ -30,4 +33,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_decontamination": decontaminate.ORACLE_SQL,
+    }
