@@ -28,7 +28,7 @@ def rows_of(frame):
 def test_round_trip_and_lookup(spark, monkeypatch):
     monkeypatch.setattr(sstable, "BLOCK_BYTES", 300)
     rng = random.Random(3)
-    words = ["the", "Élan", "don't", "x1y2", "ß-Wort,", "日本", "<|endoftext|>", "éa", "ΟΔΟΣ", "!!", "a b"]
+    words = ["the", "HELLO", "Élan", "don't", "x1y2", "ß-Wort,", "日本", "<|endoftext|>", "éa", "ΟΔΟΣ", "!!", "a b"]
     rows = [(d, rng.choice([" ", "\n", "\t "]).join(rng.choice(words) for _ in range(rng.randint(0, 60))), "s", 1) for d in rng.sample(range(-500, 100_000), 300)]
     rows += [(1 << 62, None, None, None), (-(1 << 63), "", "", 0), (None, "no id", "", 0), (77_000_000, "word " * 60_000, "", 0)]
     shards = sstable.write_shards(spark.createDataFrame(rows, SCHEMA).repartition(5), PATH, 2)

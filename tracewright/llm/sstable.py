@@ -20,7 +20,9 @@ their texts' hashes. An empty table writes no shard and reads back no row. Other
 from __future__ import annotations
 
 import bisect
+import gc
 import os
+import re
 import struct
 import zlib
 
@@ -29,7 +31,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import shared_path, table, tuned
+from tracewright.llm.common import LOWER, shared_path, table, tuned
 
 MAGIC = b"TWSST\x00\x01\n"
 FOOTER = struct.Struct("<QIQIIIQQ8s")  # index at, bytes; Bloom filter at, bytes; probes; id width; documents; ids; magic
@@ -38,7 +40,7 @@ BLOCK_BYTES, RESTART = 1 << 16, 16
 SHARD_BYTES = 128 << 20
 BLOOM_BITS, BLOOM_PROBES = 10, 7
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -197,7 +199,15 @@ class Shard:
 
 
 class Encoder:
-    """Encodes texts, remembering the ids of words: this vocabulary's tokens never span white space."""
+    """Encodes texts, remembering the ids of words.
+
+    This vocabulary lower-cases, drops white space, and splits letters from punctuation, so a word of letters with ASCII
+    punctuation around it is encoded part by part; new runs of letters are encoded many at a time and told apart by their last token.
+    All other words are encoded as they stand.
+    """
+
+    #: Punctuation but the apostrophe, which may belong to the letters after it.
+    PARTS = re.compile(rb"([!-&(-/:-@\[-`{-~]*)([a-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, vocabulary: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -205,23 +215,90 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.width = 2 if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        self.end = struct.pack("<H" if self.width == 2 else "<I", end_id)
-        self.known: dict[bytes, bytes] = {}
+        self.form = "H" if self.width == 2 else "I"
+        self.struct = struct.Struct("<" + self.form).pack
+        self.end = self.struct(end_id)
+        ids = self.tokenizer.get_vocab()
+        self.last = bytearray(max(ids.values()) + 1)
+        for token, i in ids.items():
+            self.last[i] = token.endswith("</w>")
+        self.known: dict[bytes, bytes] = {b"": b""}
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.form}", *ids)
+
+    def _each(self, texts: list[bytes]) -> list[bytes]:
+        return [self._pack(x.ids) for x in self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+
+    def _letters(self, runs: list[bytes]) -> list[bytes]:
+        """The ids of runs of letters, which are one token group each.
+
+        Runs of a-z are what normalizer and splitter leave as they are, so they go straight to the model.
+        """
+        model, pack = self.tokenizer.model.tokenize, self.struct
+        out = [b"".join([pack(t.id) for t in model(run.decode())]) if run.isascii() and run.islower() else b"" for run in runs]
+        rest = [i for i, run in enumerate(runs) if not (run.isascii() and run.islower())]
+        last, width = self.last, self.width
+        for at in range(0, len(rest), 500):
+            some = [runs[i] for i in rest[at : at + 500]]
+            ids = self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids
+            ends = [i + 1 for i, x in enumerate(ids) if last[x]]
+            if len(ends) == len(some):
+                packed = self._pack(ids)
+                found = [packed[a * width : b * width] for a, b in zip([0, *ends], ends, strict=False)]
+            else:
+                found = self._each(some)
+            for i, x in zip(rest[at : at + 500], found, strict=True):
+                out[i] = x
+        return out
+
+    def _learn(self, words: set[bytes]) -> None:
+        known = self.known
+        letters = set(filter(bytes.isalpha, words))
+        whole, parts = set(), []
+        for word in words - letters:
+            m = self.PARTS.fullmatch(word)
+            if m and b"<|" not in word and (m[2].isalpha() or m[2].decode("utf-8", "replace").isalpha()):
+                parts.append((word, *m.groups()))
+                letters.add(m[2])
+                whole.add(m[1])
+                whole.add(m[3])
+            else:
+                whole.add(word)
+        new = list(letters - known.keys())
+        known.update(zip(new, self._letters(new), strict=True))
+        new = list(whole - known.keys())
+        known.update(zip(new, self._each(new), strict=True))
+        for word, before, run, after in parts:
+            known[word] = known[before] + known[run] + known[after]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text and the end id, as little-endian integers of ``width`` bytes."""
-        split = [(t or b"").split() for t in texts]
-        new = list({w for words in split for w in words} - self.known.keys())
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = list({w for words in split for w in words})
-        form = "H" if self.width == 2 else "I"
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for word, x in zip(some, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                self.known[word] = struct.pack(f"<{len(x.ids)}{form}", *x.ids)
-        known = self.known
-        return [b"".join([known[w] for w in words]) + self.end for words in split]
+        # A text with what may be a special token keeps its case, as special tokens are looked for before lower-casing.
+        split = [(t if b"<|" in t else t.translate(LOWER)).split() if t else [] for t in texts]
+        words = set().union(*split)
+        new = words - self.known.keys()
+        if len(self.known) + len(new) > CACHE_WORDS:  # the words of these texts are likely to come again
+            self.known = {b"": b"", **{w: self.known[w] for w in words - new}}
+        gc.disable()  # none of the many small objects made here is part of a cycle
+        try:
+            self._learn(new)
+        finally:
+            gc.enable()
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, w)) + self.end for w in split]
+
+
+_encoders: dict[tuple[int, int], Encoder] = {}
+
+
+def _encoder(vocabulary: str, end_id: int) -> Encoder:
+    """A Python worker keeps one encoder, and the words that it knows, from task to task."""
+    key = zlib.crc32(vocabulary.encode()), end_id
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(vocabulary, end_id)
+    return _encoders[key]
 
 
 def _writer(directory: str, vocabulary, end_id: int):
@@ -230,7 +307,7 @@ def _writer(directory: str, vocabulary, end_id: int):
 
         context = TaskContext.get()
         part, attempt = context.partitionId(), str(context.taskAttemptId())
-        encoder = Encoder(vocabulary.value, end_id)
+        encoder = _encoder(vocabulary.value, end_id)
         files, base = pafs.FileSystem.from_uri(directory)
         shard, seq = None, 0
 
