@@ -113,6 +113,11 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block_chars:
     return placed.repartitionByRange("at_slot", "start").sortWithinPartitions("at_slot", "start", "h", "id", "size").select("row.*")
 
 
+def slotted(docs: DataFrame, weights: dict[str, float] | None = None, block_chars: int = BLOCK_CHARS, resolution: int = RESOLUTION) -> DataFrame:
+    """(doc_id, text, slot) for every row of ``docs``."""
+    return _placed(docs, [F.col("doc_id"), F.col("text"), F.col("doc_id").alias("id")], weights, block_chars, resolution).select("doc_id", "text", F.col("at_slot").alias("slot"))
+
+
 def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule(table(spark, sf_dir, "documents"))
 
