@@ -22,9 +22,11 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,17 +88,22 @@ def _shared(runs: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return p
 
 
-def train(texts: list[list[bytes]], toxic: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def train(texts: Iterable[list[bytes]], toxic: Iterable[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(runs, their weights, contexts, the weights of runs that were never seen after them)."""
     words: list[Counter] = [Counter(), Counter()]
     for text, t in zip(texts, toxic, strict=True):
         words[bool(t)].update(text)
     sides = []
     for count in words:
-        names = list(count)
-        runs, starts = _spellings(names) if names else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        times = np.repeat(np.fromiter(count.values(), np.float64, len(names)), np.diff(np.append(starts, len(runs)))) if names else np.zeros(0)
-        sides.append(_summed(runs, times))
+        names, found = list(count), (np.zeros(0, np.uint64), np.zeros(0))
+        for at in range(0, len(names), 50_000):
+            some = names[at : at + 50_000]
+            runs, starts = _spellings(some)
+            times = np.repeat(np.array([count[x] for x in some], np.float64), np.diff(np.append(starts, len(runs))))
+            keys, n = _summed(runs, times)
+            found = _summed(np.concatenate((found[0], keys)), np.concatenate((found[1], n)))
+        sides.append(found)
+        count.clear()
     runs, counts = _summed(np.concatenate([s[0] for s in sides]), np.concatenate([s[1] for s in sides]))
     if not len(runs):
         return runs, counts, runs, counts
@@ -175,16 +182,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) ->
     share = n.get(True, 0) / max(1, sum(n.values()))
     chosen = [marks.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(k) for t, k in ((True, sample[0]), (False, sample[1]))]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # sum(sample) rows at most
-    rows = docs.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.col("text").cast("binary")).alias("text")).collect()
-    rows.sort(key=lambda r: r.doc_id)
-    fitting = [zlib.crc32(str(r.doc_id).encode()) // 4 % CALIBRATE > 0 for r in rows]
-    texts = [(r.text or b"").translate(LOWER).split() for r in rows]
-    kinds = [{r.toxic for r, f in zip(rows, fitting, strict=True) if f == side} for side in (True, False)]
-    if any(len(k) < 2 for k in kinds):
+    rows = docs.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.col("text").cast("binary")).alias("text")).toArrow().sort_by("doc_id")
+    toxic, texts = rows.column("toxic").to_pylist(), rows.column("text")
+    fitting = [zlib.crc32(str(d).encode()) // 4 % CALIBRATE > 0 for d in rows.column("doc_id").to_pylist()]
+    if any(len({t for t, f in zip(toxic, fitting, strict=True) if f == side}) < 2 for side in (True, False)):
         return {"share": share}
-    model = train([t for t, f in zip(texts, fitting, strict=True) if f], [r.toxic for r, f in zip(rows, fitting, strict=True) if f])
-    x = Weigher(model).features([t for t, f in zip(texts, fitting, strict=True) if not f])
-    y = np.array([r.toxic for r, f in zip(rows, fitting, strict=True) if not f], np.float64)
+    # Texts are split one at a time: their words as objects take many times the room of the texts.
+    words = lambda i: (texts[i].as_py() or b"").translate(LOWER).split()
+    of = lambda side: [i for i, f in enumerate(fitting) if f == side]
+    model = train(map(words, of(True)), [toxic[i] for i in of(True)])
+    weigher = Weigher(model)
+    x = np.concatenate([weigher.features([words(i)]) for i in of(False)])
+    y = np.array([toxic[i] for i in of(False)], np.float64)
     w, offset, mean, scale = calibrate(x, y)
     odds = lambda p: np.log(p / (1 - p))
     return {"share": share, "model": model, "weights": w, "offset": offset + odds(share) - odds(y.mean()), "mean": mean, "scale": scale}
@@ -218,6 +227,26 @@ def scores(docs: DataFrame, fitted: dict, modulus: int = 4, held: int = 2) -> Da
     return rows.mapInArrow(_scorer(sent, f"{spark.sparkContext.applicationId}-{sent._jbroadcast.id()}"), RESULT)
 
 
+def _acceptor(sent, key: str):
+    score = _scorer(sent, key)
+
+    def accept(batches):
+        for batch in batches:
+            text = batch.column("text").cast(pa.binary())
+            none = pa.nulls(batch.num_rows)
+            (scored,) = score([pa.record_batch([none, none, text], ["doc_id", "held_out", "text"])])
+            yield batch.filter(pc.less(scored.column("score"), THRESHOLD))
+
+    return accept
+
+
+def accepted(docs: DataFrame, fitted: dict) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text is not called toxic."""
+    spark = tuned(docs.sparkSession)
+    sent = spark.sparkContext.broadcast(fitted)
+    return docs.mapInArrow(_acceptor(sent, f"{spark.sparkContext.applicationId}-{sent._jbroadcast.id()}"), docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, sample: tuple[int, int] = SAMPLE) -> DataFrame:
     train_rows = lambda df: df.where(fold("doc_id", modulus) != held)
     return scores(docs, fit(train_rows(docs.select("doc_id", "text")), train_rows(labels.select("doc_id", "toxic")), sample), modulus, held)
