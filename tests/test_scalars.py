@@ -50,7 +50,7 @@ def test_values(spark):
     frame = spark.sql("SELECT 'é' a, X'0102' b, 5 c, cast(1 as float) d, 1.5d e, timestamp'2020-01-01 00:00:00' f, cast(null as string) g, cast(12.50 as decimal(6,2)) h, interval '200:00:00' hour to second i, -interval '01:00:00' hour to second j")
     assert list(frame.select(*[X.value_bytes(frame[c], t).alias(c) for c, t in frame.dtypes]).first()) == [2, 2, 8, 4, 8, 26, 0, 5, 16, 16]
     assert values(spark, X.string_literal, ["a'b\\c\nd"]) == ["'a''b\\\\c\\nd'"]
-    assert values(spark, X.bytes_literal, [bytearray(b"ab"), bytearray(b"\xff\x00")], "binary") == ["'ab'", "X'ff00'"]
+    assert values(spark, X.bytes_literal, [bytearray(b"ab"), bytearray(b"\xff\x00")], "binary") == ["'ab'", "X'FF00'"]
 
 
 def slow(values, q, bits):

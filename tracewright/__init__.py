@@ -1 +1,3 @@
 """Workload analytics on Spark."""
+
+__version__ = "0.1.0"

@@ -162,4 +162,4 @@ def string_literal(s: Column) -> Column:
 def bytes_literal(b: Column) -> Column:
     """Bytes as a text literal if they are UTF-8, else in hex."""
     text = F.try_validate_utf8(b.cast("string"))
-    return F.when(text.isNotNull(), string_literal(text)).otherwise(F.concat(F.lit("X'"), F.lower(F.hex(b)), F.lit("'")))
+    return F.when(text.isNotNull(), string_literal(text)).otherwise(F.concat(F.lit("X'"), F.hex(b), F.lit("'")))

@@ -21,6 +21,11 @@ def wrapping_sum(c: Column) -> Column:
     return F.pmod(F.sum(c.cast("decimal(20,0)")).cast("decimal(38,0)"), wrap)
 
 
+def _signed(c: Column) -> Column:
+    """An unsigned number of 64 bits as the long of the same bits."""
+    return F.when(c >= F.lit("9223372036854775808").cast("decimal(20,0)"), c - F.lit(WRAP).cast("decimal(20,0)")).otherwise(c).cast("long")
+
+
 def md5_hash(text: Column) -> Column:
     """60 bits of the MD5 of a text, which other engines can compute too."""
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
@@ -58,7 +63,7 @@ def class_checksums(outcomes: DataFrame, hashed: Callable[[Column], Column] = F.
         F.count_if(~has).alias("no_result"),
         F.coalesce(F.sum(F.when(has, F.col("digest_rows"))), F.lit(0).cast("long")).alias("rows_total"),
         F.coalesce(wrapping_sum(F.col("digest")), F.lit(0).cast("decimal(38,0)")).alias("sum"),
-        F.coalesce(F.bit_xor(F.col("digest").cast("long")), F.lit(0).cast("long")).alias("xor"),
+        F.coalesce(F.bit_xor(_signed(F.col("digest"))), F.lit(0).cast("long")).alias("xor"),
         F.min_by(F.col("columns"), F.when(has, F.col("ordinal"))).alias("columns"),
         (F.count_distinct(F.when(has, F.to_json("columns"))) > 1).alias("shape_varied"),
     )

@@ -7,8 +7,8 @@ EVENT = "ts_micros long, session_id long, user string, db string, query string,
 ORDERED_EVENT = f"ordinal long, {EVENT}"
 FINGERPRINT = "id long, text string"
 PCAP_COUNTERS = (
-    "packets", "flows", "flows_decoded", "tls_connections", "compressed_connections", "midstream_connections", "broken_connections",
-    "snaplen_truncated_packets", "fragmented_packets", "undecoded_statements", "unanswered_requests", "max_reorder_bytes",
+    "packets", "truncated_packets", "ip_fragments_skipped", "connections", "connections_decoded", "connections_tls_skipped", "connections_compressed_skipped",
+    "connections_midstream_skipped", "connections_broken", "statements_expanded", "statements_inexpandable", "responses_missing",
 )
 PCAP = ", ".join(f"{c}: long" for c in PCAP_COUNTERS)
 SUMMARY = (
