@@ -40,7 +40,7 @@ BLOCK_BYTES, RESTART = 1 << 16, 16
 SHARD_BYTES = 128 << 20
 BLOOM_BITS, BLOOM_PROBES = 10, 7
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
