@@ -20,7 +20,6 @@ their texts' hashes. An empty table writes no shard and reads back no row. Other
 from __future__ import annotations
 
 import bisect
-import gc
 import os
 import re
 import struct
@@ -39,8 +38,8 @@ BLOCK_BYTES, RESTART = 1 << 16, 16
 #: A shard is closed once it has so many bytes.
 SHARD_BYTES = 128 << 20
 BLOOM_BITS, BLOOM_PROBES = 10, 7
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 800_000
+#: Words of a generation whose ids a worker remembers; there are two.
+CACHE_WORDS = 400_000
 MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -198,12 +197,24 @@ class Shard:
         return found
 
 
+class _Words(dict):
+    """Ids of words, worked out when first asked for. Of ``old``, the generation before, those stay that come again."""
+
+    def __init__(self, work_out):
+        super().__init__({b"": b""})
+        self.work_out, self.old = work_out, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        self[word] = ids = self.work_out(word) if ids is None else ids
+        return ids
+
+
 class Encoder:
-    """Encodes texts, remembering the ids of words.
+    """Encodes texts word by word, remembering the ids of words.
 
-    This vocabulary lower-cases, drops white space, and splits letters from punctuation, so a word of letters with ASCII
-    punctuation around it is encoded part by part; new runs of letters are encoded many at a time and told apart by their last token.
-    All other words are encoded as they stand.
+    This vocabulary lower-cases, drops white space, and splits letters from punctuation, so no token spans white space, and a word of letters
+    with ASCII punctuation around it is encoded part by part. All other words are encoded as they stand.
     """
 
     #: Punctuation but the apostrophe, which may belong to the letters after it.
@@ -214,79 +225,39 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.model, self.normalizer, self.splitter = self.tokenizer.model, self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         self.width = 2 if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         self.form = "H" if self.width == 2 else "I"
-        self.struct = struct.Struct("<" + self.form).pack
-        self.end = self.struct(end_id)
-        ids = self.tokenizer.get_vocab()
-        self.last = bytearray(max(ids.values()) + 1)
-        for token, i in ids.items():
-            self.last[i] = token.endswith("</w>")
-        self.known: dict[bytes, bytes] = {b"": b""}
-
-    def _pack(self, ids: list[int]) -> bytes:
+        self.pack = struct.Struct("<" + self.form).pack
+        self.end = self.pack(end_id)
+        self.known = _Words(self._word)
+
+    def _word(self, word: bytes) -> bytes:
+        pack = self.pack
+        if word.isalpha() and word.islower():  # a-z is what normalizer and splitter leave as it is
+            return b"".join([pack(t.id) for t in self.model.tokenize(word.decode())])
+        m = self.PARTS.fullmatch(word)
+        if m and b"<|" not in word and (m[2].isalpha() or m[2].decode("utf-8", "replace").isalpha()):
+            if len(m[2]) < len(word):
+                known = self.known
+                return known[m[1]] + known[m[2]] + known[m[3]]
+            pieces = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(word.decode()))
+            return b"".join([pack(t.id) for piece, _ in pieces for t in self.model.tokenize(piece)])
+        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}{self.form}", *ids)
 
-    def _each(self, texts: list[bytes]) -> list[bytes]:
-        return [self._pack(x.ids) for x in self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-
-    def _letters(self, runs: list[bytes]) -> list[bytes]:
-        """The ids of runs of letters, which are one token group each.
-
-        Runs of a-z are what normalizer and splitter leave as they are, so they go straight to the model.
-        """
-        model, pack = self.tokenizer.model.tokenize, self.struct
-        out = [b"".join([pack(t.id) for t in model(run.decode())]) if run.isascii() and run.islower() else b"" for run in runs]
-        rest = [i for i, run in enumerate(runs) if not (run.isascii() and run.islower())]
-        last, width = self.last, self.width
-        for at in range(0, len(rest), 500):
-            some = [runs[i] for i in rest[at : at + 500]]
-            ids = self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids
-            ends = [i + 1 for i, x in enumerate(ids) if last[x]]
-            if len(ends) == len(some):
-                packed = self._pack(ids)
-                found = [packed[a * width : b * width] for a, b in zip([0, *ends], ends, strict=False)]
-            else:
-                found = self._each(some)
-            for i, x in zip(rest[at : at + 500], found, strict=True):
-                out[i] = x
-        return out
-
-    def _learn(self, words: set[bytes]) -> None:
-        known = self.known
-        letters = set(filter(bytes.isalpha, words))
-        whole, parts = set(), []
-        for word in words - letters:
-            m = self.PARTS.fullmatch(word)
-            if m and b"<|" not in word and (m[2].isalpha() or m[2].decode("utf-8", "replace").isalpha()):
-                parts.append((word, *m.groups()))
-                letters.add(m[2])
-                whole.add(m[1])
-                whole.add(m[3])
-            else:
-                whole.add(word)
-        new = list(letters - known.keys())
-        known.update(zip(new, self._letters(new), strict=True))
-        new = list(whole - known.keys())
-        known.update(zip(new, self._each(new), strict=True))
-        for word, before, run, after in parts:
-            known[word] = known[before] + known[run] + known[after]
-
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text and the end id, as little-endian integers of ``width`` bytes."""
-        # A text with what may be a special token keeps its case, as special tokens are looked for before lower-casing.
-        split = [(t if b"<|" in t else t.translate(LOWER)).split() if t else [] for t in texts]
-        words = set().union(*split)
-        new = words - self.known.keys()
-        if len(self.known) + len(new) > CACHE_WORDS:  # the words of these texts are likely to come again
-            self.known = {b"": b"", **{w: self.known[w] for w in words - new}}
-        gc.disable()  # none of the many small objects made here is part of a cycle
-        try:
-            self._learn(new)
-        finally:
-            gc.enable()
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, w)) + self.end for w in split]
+        out = []
+        for t in texts:
+            # A text with what may be a special token keeps its case, as special tokens are looked for before lower-casing.
+            words = (t if b"<|" in t else t.translate(LOWER)).split() if t else []
+            out.append(b"".join(map(self.known.__getitem__, words)) + self.end)
+            if len(self.known) > CACHE_WORDS:
+                self.known.old = {}
+                old, self.known = self.known, _Words(self._word)
+                self.known.old = old
+        return out
 
 
 _encoders: dict[tuple[int, int], Encoder] = {}
