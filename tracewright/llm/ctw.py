@@ -138,34 +138,39 @@ class Trees:
         return out
 
 
-def _distinct(texts: list[bytes], words: list[list[bytes]], held: list[bool], depth: int, buckets: int):
-    """What a chunk tells: (words, their hashes, counts, bounds of buckets), and (grams, counts, bounds of buckets), both in the order of buckets."""
+def _in_buckets(keys: np.ndarray, where: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ``keys`` by bucket and then by number, and where each bucket starts in it."""
+    order = np.lexsort((keys, where))
+    return order, np.searchsorted(where[order], np.arange(buckets + 1, dtype=np.uint64))
+
+
+def _words_of(names: list[bytes], buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Words by bucket: the words, their hashes, their order before, and where each bucket starts."""
     import xxhash
 
+    hashes = np.array([xxhash.xxh64_intdigest(x) for x in names], np.uint64)
+    order, bounds = _in_buckets(hashes, hashes % np.uint64(buckets), buckets)
+    return [names[i] for i in order.tolist()], hashes[order], order, bounds
+
+
+def _counted_words(words: list[list[bytes]], held: list[bool]) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words of a chunk, the end token among them, and their training counts."""
     count: Counter = Counter()
     for w, out in zip(words, held, strict=True):
-        if out:
-            for x in set(w):
-                count.setdefault(x, 0)
-        else:
+        if not out:
             count.update(w)
     count[b""] = sum(not x for x in held)  # the end token
-    names = list(count)
-    hashes = np.array([xxhash.xxh64_intdigest(x) for x in names], np.uint64)
-    where = hashes % np.uint64(buckets)
-    order = np.lexsort((hashes, where))
-    names = [names[i] for i in order.tolist()]
-    counts = np.array([count[x] for x in names], np.uint64)
-    word_side = names, hashes[order], counts, np.searchsorted(where[order], np.arange(buckets + 1, dtype=np.uint64))
-
-    keys, counts = np.unique(grams([t for t, x in zip(texts, held, strict=True) if not x], depth), return_counts=True) if not all(held) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    if any(held):
-        more = np.setdiff1d(grams([t for t, x in zip(texts, held, strict=True) if x], depth), keys)
+    names = [*count, *(set().union(*(w for w, out in zip(words, held, strict=True) if out)) - count.keys())]
+    return names, np.array([count[x] for x in names], np.uint64)
+
+
+def _counted_grams(found: np.ndarray, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct grams of a chunk, and their training counts."""
+    keys, counts = np.unique(found[trained], return_counts=True)
+    if not trained.all():
+        more = np.setdiff1d(found[~trained], keys)
         keys, counts = np.concatenate((keys, more)), np.concatenate((counts, np.zeros(len(more), np.int64)))
-    where = _bucket_of_grams(keys, depth, buckets)
-    order = np.lexsort((keys, where))
-    gram_side = keys[order], counts[order].astype(np.uint64), np.searchsorted(where[order], np.arange(buckets + 1, dtype=np.uint64))
-    return word_side, gram_side
+    return keys, counts.astype(np.uint64)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -214,7 +219,12 @@ def _tell(depth: int, buckets: int):
     def tell(docs: pa.Table) -> pa.Table:
         words, texts, held = _read(docs)
         chunk = docs.column("chunk")[0].as_py()
-        (_, hashes, counts, bounds), (keys, occurred, cuts) = _distinct(texts, words, held, depth, buckets)
+        names, counts = _counted_words(words, held)
+        _, hashes, order, bounds = _words_of(names, buckets)
+        counts = counts[order]
+        keys, occurred = _counted_grams(grams(texts, depth), ~np.repeat(held, [len(t) for t in texts]))
+        order, cuts = _in_buckets(keys, _bucket_of_grams(keys, depth, buckets), buckets)
+        keys, occurred = keys[order], occurred[order]
         rows = []
         for b in range(buckets):
             lo, hi = bounds[b : b + 2].tolist()
@@ -279,20 +289,24 @@ def _score(depth: int, buckets: int):
         if not docs.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], [c.split()[0] for c in RESULT.split(", ")])
         words, texts, held = _read(docs)
-        (names, _, _, _), (keys, _, _) = _distinct(texts, words, held, depth, buckets)
         parts = {(k, b): _opened(p) for k, b, p in zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "payload")), strict=True)}
         join = lambda kind, dtype: np.concatenate([_unpack(data, dtype, n) for (k, _), (n, data) in sorted(parts.items()) if k == kind] or [np.zeros(0, dtype)])
         total, distinct = (sum(answers.column(c).to_pylist()) for c in ("train_tokens", "distinct_tokens"))
+        names = _words_of(list({b""}.union(*words)), buckets)[0]
         known = join("w", np.float64)
         cost = dict(zip(names, np.log10(known + 0.1).tolist(), strict=True))
-        seen = dict(zip(names, known.tolist(), strict=True))
-        find = _lookup(keys, join("g", np.float32))
+        end_known = bool(known[names.index(b"")] > 0)
+        found = grams(texts, depth)
+        keys = np.unique(found)
+        keys = keys[_in_buckets(keys, _bucket_of_grams(keys, depth, buckets), buckets)[0]]
+        values = _lookup(keys, join("g", np.float32))(found)
+        sums = np.add.reduceat(values.astype(np.float64), np.concatenate(([0], np.cumsum([len(t) for t in texts])[:-1])))
         scale = math.log10(total + 0.1 * (distinct + 1))
         rows = []
-        for w, t, out in zip(words, texts, held, strict=True):
+        for w, own, out in zip(words, sums.tolist(), held, strict=True):
             n = len(w) + 1
-            c = np.fromiter(map(cost.__getitem__, w), np.float64, len(w)) if w else np.zeros(0)
-            rows.append((out, n, int((c > -0.5).sum()) + (seen[b""] > 0), total, float(c.sum()) + cost[b""] - n * scale, float(find(grams([t], depth)).sum(dtype=np.float64))))
+            c = np.fromiter(map(cost.__getitem__, w), np.float64, len(w))
+            rows.append((out, n, int((c > -0.5).sum()) + end_known, total, float(c.sum()) + cost[b""] - n * scale, own))
         kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         return pa.table([docs.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], [c.split()[0] for c in RESULT.split(", ")])
 
