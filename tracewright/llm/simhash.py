@@ -72,12 +72,12 @@ def links(prints: DataFrame) -> DataFrame:
     tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("print").bitwiseAND(F.lit(m)).alias("bucket"), F.lit(signed(full ^ (m % (1 << 64)))).alias("free")) for i, m in enumerate(masks)])
     placed = prints.select("print", F.explode(tables).alias("x")).select("print", "x.*")
     shared = placed.groupBy("t", "bucket").agg(F.count("*").alias("n")).where("n > 1").select("t", "bucket")
-    candidates = placed.join(shared, ["t", "bucket"]).groupBy("print").agg(F.bit_or("free").alias("free"))
+    candidates = placed.join(shared.hint("merge"), ["t", "bucket"]).groupBy("print").agg(F.bit_or("free").alias("free"))
     one = [signed(1 << i) for i in range(BITS)]
     flips = F.filter(F.array(F.lit(0).cast("long"), *[F.lit(b).cast("long") for b in one]), lambda b: b.bitwiseAND(F.col("free")) == b)
     keys = candidates.select("print", F.explode(flips).alias("b")).select(F.col("print").bitwiseXOR(F.col("b")).alias("key"), "print")
     met = keys.groupBy("key").agg(F.min("print").alias("first"), F.max("print").alias("last")).where("first < last").select("key", "first")
-    return keys.join(met, "key").where("print <> first").select(F.col("print").alias("src"), F.col("first").alias("dst")).distinct()
+    return keys.join(met.hint("merge"), "key").where("print <> first").select(F.col("print").alias("src"), F.col("first").alias("dst")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -85,17 +85,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prints = materialize(fingerprints(docs), "simhash")
     firsts = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
     parts = connected_components(links(firsts.select("print")))
-    rooted = firsts.join(parts.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("component", "print"))
+    rooted = firsts.join(parts.withColumnRenamed("node", "print").hint("merge"), "print", "left").withColumn("root", F.coalesce("component", "print"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_print = rooted.select("print", "root").join(least, "root").select("print", "component_id")
-    return prints.join(of_print, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    of_print = rooted.select("print", "root").join(least.hint("merge"), "root").select("print", "component_id")
+    return prints.join(of_print.hint("merge"), "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document, that of the smallest doc_id, of each group of near-duplicates. Rows without doc_id stay."""
     named = docs.where("doc_id IS NOT NULL")
     kept = near_duplicates(named).where("doc_id = component_id").select("doc_id").distinct()
-    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    return named.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
