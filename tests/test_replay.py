@@ -219,3 +219,36 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["compare", b, r]) in (0, 2)
     assert cli.main(["baseline", "--capture", c, "--out", b, "--filter-db", "none"]) == 1
     assert "2 events, 2 sessions, 2 classes" in capsys.readouterr().out
+
+
+class _Server:
+    """As much of a MySQL connection as settings need."""
+
+    variables = {"sql_mode": "STRICT", "tx_isolation": "READ-COMMITTED", "innodb_buffer_pool_size": 128}
+
+    def cursor(self):
+        return self
+
+    def execute(self, sql):
+        self.sql = sql
+
+    def fetchall(self):
+        name = self.sql.split("'")[1]
+        return [(k, v) for k, v in self.variables.items() if k == name]
+
+    def fetchone(self):
+        return ("8.0.36",)
+
+    def close(self):
+        pass
+
+
+def test_settings_of_a_mysql_server():
+    target = replay.MySqlTarget(_Server)
+    assert target.settings() == {"sql_mode": "STRICT", "innodb_buffer_pool_size": "128", "transaction_isolation": "READ-COMMITTED"}
+    assert target.version() == "8.0.36"
+
+
+def test_descriptors():
+    assert replay.descriptors_left(1) is None
+    assert "file descriptors" in replay.descriptors_left(1 << 60)

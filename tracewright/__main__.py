@@ -95,6 +95,9 @@ def _capture(spark: SparkSession, a) -> int:
 def _replay(spark: SparkSession, a) -> int:
     options = replay.Options(a.max_connections, a.allow_writes, a.db_override, replay.parse_speed(a.speed), a.checksum, a.pool, a.warmup, a.repeat, _filters(a), a.time_window, replay.abort_file(spark))
 
+    if warning := replay.descriptors_left(a.pool or a.max_connections):
+        print(f"warning: {warning}", file=sys.stderr)
+
     def stop(*_):
         from pyarrow import fs
 

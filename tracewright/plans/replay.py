@@ -196,6 +196,49 @@ class _DbApiConnection(Connection):
         self.raw.close()
 
 
+#: What of a MySQL server's settings a report keeps, and the names under which servers have the isolation level.
+SETTINGS, ISOLATION = ("sql_mode", "character_set_server", "collation_server", "innodb_buffer_pool_size"), ("transaction_isolation", "tx_isolation")
+
+
+class MySqlTarget(DbApiTarget):
+    """A MySQL or MariaDB server by any driver that makes connections as Python's database interface has them."""
+
+    def _variable(self, cursor, name: str) -> str | None:
+        cursor.execute(f"SHOW VARIABLES LIKE '{name}'")
+        found = [str(value) for key, value in cursor.fetchall() if key == name]
+        return found[0] if found else None
+
+    def settings(self) -> dict[str, str]:
+        """The isolation level under one name, whichever the server has."""
+        raw = self.make()
+        try:
+            cursor = raw.cursor()
+            found = {n: self._variable(cursor, n) for n in SETTINGS}
+            found["transaction_isolation"] = next((v for n in ISOLATION if (v := self._variable(cursor, n)) is not None), None)
+            return {k: v for k, v in found.items() if v is not None}
+        finally:
+            raw.close()
+
+    def version(self) -> str:
+        raw = self.make()
+        try:
+            cursor = raw.cursor()
+            cursor.execute("SELECT VERSION()")
+            return str(cursor.fetchone()[0])
+        finally:
+            raw.close()
+
+
+def descriptors_left(connections: int, spare: int = 32) -> str | None:
+    """A warning if the process may not open ``connections`` and ``spare`` more files."""
+    import resource
+
+    limit = resource.getrlimit(resource.RLIMIT_NOFILE)[0]
+    if limit == resource.RLIM_INFINITY or limit >= connections + spare:
+        return None
+    return f"{connections} connections need {connections + spare} file descriptors; the limit is {limit}"
+
+
 class DuckDbTarget(DbApiTarget):
     """A DuckDB database, in memory or a file opened read-only; ``setup`` runs on each connection."""
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import hdr, scalars, sqltext
 from tracewright.operators import checksums, compare, events, passes, runs
+from tracewright.sources import slowlog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -474,6 +475,66 @@ def correctness_diff(spark, d):
     return compare.correctness(c.select(F.concat(F.lit("query "), k).alias("fingerprint"), b.alias("b"), other.alias("c")))
 
 
+# --- sources ---------------------------------------------------------------------------------------------------------------------------
+# Four slow logs are written out of the capture, line by line, and read by the parser: what comes back has to be what went in.
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, line_no, line) of slow logs that tell of the derived capture."""
+    cap = capture(spark, sf_dir)
+    seconds = F.concat((F.expr("ts_micros div 1000000")).cast("string"), F.lit("."), F.lpad(F.pmod("ts_micros", F.lit(1_000_000)).cast("string"), 6, "0"))
+    lines = F.array(
+        F.concat(F.lit("# User@Host: "), "user", F.lit("["), "user", F.lit("] @ app [10.0.0.1]  Id:   "), F.col("session_id").cast("string")),
+        F.when(F.col("db").isNotNull(), F.concat(F.lit("# Thread_id: "), F.col("session_id").cast("string"), F.lit("  Schema: "), "db", F.lit("  QC_hit: No"))),
+        F.concat(F.lit("# Query_time: "), F.col("orig_query_time_s").cast("string"), F.lit("  Lock_time: 0.000001 Rows_sent: 1  Rows_examined: 2")),
+        F.concat(F.lit("SET timestamp="), seconds, F.lit(";")),
+        F.concat("query", F.lit(";")),
+    )
+    return cap.select(F.concat(F.lit("log"), F.col("session_id") % 4).alias("file"), "ordinal", F.posexplode(F.filter(lines, lambda x: x.isNotNull()))).select("file", (F.col("ordinal") * 8 + F.col("pos")).alias("line_no"), F.col("col").alias("line"))
+
+
+@query("""WITH {CAPTURE} SELECT 'log' || session_id % 4 AS file, row_number() OVER (PARTITION BY session_id % 4 ORDER BY ordinal) - 1 AS ordinal, ts_micros, session_id, "user", db, query, orig_query_time_s FROM cap""")
+def slowlog_scan(spark, d):
+    slowlog.register(spark)
+    log_lines(spark, d).createOrReplaceTempView("slowlog_lines")
+    rows = spark.sql("SELECT * FROM slowlog_parse(TABLE(SELECT * FROM slowlog_lines) PARTITION BY file ORDER BY line_no)")
+    return rows.where("kind = 'event'").select("file", "ordinal", "ts_micros", "session_id", "user", "db", "query", "orig_query_time_s")
+
+
+@query("""WITH {CAPTURE} SELECT ordinal, ts_micros AS stamp, session_id AS thread, "user", db AS schema FROM cap""")
+def header_fields(spark, d):
+    """X18, X20 and X21 as columns over the lines of those logs."""
+    lines = log_lines(spark, d).select(F.expr("line_no div 8").alias("ordinal"), "line")
+    host = F.when(F.col("line").startswith("# User@Host: "), F.expr("substring(line, 14)"))
+    return lines.groupBy("ordinal").agg(
+        F.max(F.when(F.col("line").startswith("SET timestamp="), scalars.set_timestamp_micros(F.col("line")))).alias("stamp"),
+        F.max(scalars.header_thread(host)).alias("thread"),
+        F.max(scalars.header_user(host)).alias("user"),
+        F.max(F.when(F.col("line").startswith("# Thread_id: "), scalars.header_value(F.col("line"), "Schema"))).alias("schema"),
+    )
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 2 THEN -1 ELSE epoch_us(date_trunc('second', ts)) END AS micros, CASE event_id % 4 WHEN 0 THEN 'db' || event_id WHEN 1 THEN 'my`' || event_id END AS db FROM events")
+def log_times_and_databases(spark, d):
+    """X17 and X19 over both forms of each, and over what has neither."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    form = lambda p: F.date_format(F.col("ts").cast("timestamp"), p)
+    i = F.col("event_id")
+    when = F.when(i % 3 == 0, form("yyyy-MM-dd'T'HH:mm:ss'Z'")).when(i % 3 == 1, form("yyMMdd HH:mm:ss")).otherwise("no time")
+    use = F.when(i % 4 == 0, F.concat(F.lit("use db"), i, F.lit(";"))).when(i % 4 == 1, F.concat(F.lit("USE `my``"), i, F.lit("`;"))).when(i % 4 == 2, "use two words;").otherwise("SELECT 1")
+    return e.select("event_id", F.coalesce(scalars.time_micros(when), F.lit(-1).cast("long")).alias("micros"), scalars.use_target(use).alias("db"))
+
+
+@query("""WITH i AS (SELECT event_id * 10000 AS due_us, event_id * 10000 + event_id % 7 * 15000 AS start_us, event_id * 10000 + event_id % 7 * 15000 + greatest(round(value * 1000)::BIGINT, 1) AS end_us FROM events),
+r AS (SELECT tick, count(*) AS runs FROM (SELECT unnest(generate_series(start_us // 50000, end_us // 50000)) AS tick, start_us, end_us FROM i) WHERE tick * 50000 >= start_us AND tick * 50000 < end_us GROUP BY tick),
+w AS (SELECT DISTINCT tick FROM (SELECT unnest(generate_series(due_us // 50000, start_us // 50000)) AS tick, due_us, start_us FROM i) WHERE tick * 50000 >= due_us AND tick * 50000 < start_us)
+SELECT max(end_us) // 50000 + 1 AS samples, (SELECT count(*) FROM r JOIN w USING (tick) WHERE runs >= 20) AS saturated_samples, (SELECT count(*) FROM r JOIN w USING (tick) WHERE runs >= 20) / (max(end_us) // 50000 + 1)::DOUBLE * 100 AS saturated_pct FROM i""")
+def saturation(spark, d):
+    i = F.col("event_id")
+    e = spark.read.parquet(f"{d}/events.parquet").select((i * 10000).alias("due_us"), (i * 10000 + i % 7 * 15000).alias("start_us"), F.greatest(F.round(F.col("value") * 1000).cast("long"), F.lit(1).cast("long")).alias("latency"))
+    return runs.saturation(e.withColumn("end_us", F.col("start_us") + F.col("latency")), 20)
+
+
 # --- scalar functions -----------------------------------------------------------------------------------------------------------------
 
 
