@@ -6,7 +6,7 @@ order and give what that leaves to the shared model, so an expression that is ra
 have seen, and one that neither favours weighs nothing. A word's weight is the log-likelihood ratio of the two models.
 
 A text is compared by ratios normalised for length: over the whole text, over its most toxic passage of PASSAGE words, and over its
-most toxic word, since a long text can be toxic in one place. A logistic regression on these, fitted on labelled rows that the models have not seen,
+most toxic words, since a long text can be toxic in one place. A logistic regression on these, fitted on labelled rows that the models have not seen,
 makes them a probability, and is shifted to the share of toxic rows among all training labels.
 
 The models are fitted at the driver on a bounded sample of labelled rows: SAMPLE = (toxic, ordinary) rows at most, those whose doc_id has the
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.common import LOWER, fold, table, tuned
 
-ORDER, PASSAGE, SAMPLE, THRESHOLD = 8, 8, (3000, 6000), 0.3
+ORDER, PASSAGE, TOP, SAMPLE, THRESHOLD = 8, 8, 4, (3000, 6000), 0.3
 #: One in so many sampled rows calibrates; the models have the others.
 CALIBRATE = 5
 CACHE_WORDS = 400_000
@@ -141,8 +141,9 @@ class Weigher:
             self.known.update(zip(some, np.add.reduceat(value.astype(np.float64), starts).tolist(), strict=True))
 
     def features(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Mean ratio per word of each text, of its most toxic passage, and the ratio of its most toxic word."""
-        out = np.zeros((len(texts), 3))
+        """Mean ratio per word of each text, of its most toxic passage, and the ratio of its most toxic word; the second of its words, the
+        sum of its TOP most toxic words, and its length. Ratios count by their square roots, lengths by their logarithm."""
+        out = np.zeros((len(texts), 6))
         if not len(self.runs):
             return out
         new = list({w for t in texts for w in t} - self.known.keys())
@@ -157,8 +158,10 @@ class Weigher:
                 ratio = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
             sums = np.concatenate(([0.0], np.cumsum(ratio)))
             span = min(PASSAGE, len(words))
-            out[i] = sums[-1] / len(words), ((sums[span:] - sums[:-span]) / span).max(), ratio.max()
-        return out
+            most = np.sort(np.partition(ratio, len(ratio) - TOP)[-TOP:] if len(ratio) > TOP else ratio)[::-1]
+            toxic = np.maximum(most, 0)
+            out[i] = sums[-1] / len(words), ((sums[span:] - sums[:-span]) / span).max(), most[0], toxic[1] if len(toxic) > 1 else 0, toxic.sum(), len(words)
+        return np.column_stack((np.sign(out[:, :5]) * np.sqrt(np.abs(out[:, :5])), np.log1p(out[:, 5])))
 
 
 def calibrate(x: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
