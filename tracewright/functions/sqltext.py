@@ -26,7 +26,7 @@ LINE = rf"--(?=[{WHITE}]|\z)[^\n]*+|#[^\n]*+"
 NUMBER = r"0[xX][0-9A-Fa-f]*+|(?:[0-9]++(?:\.[0-9]*+)?+|\.[0-9]++)(?:[eE][+-]?[0-9]++)?+"
 #: An identifier takes digits after it, and a point before a digit.
 IDENT = r"[A-Za-z_$\u0080-\U0010FFFF][A-Za-z0-9_$\u0080-\U0010FFFF]*+(?:\.(?=[0-9]))?+"
-TOKEN = rf"{STRING}|{BACKTICK}|{BLOCK}|{LINE}|[{WHITE}]++|{NUMBER}|{IDENT}|[\s\S]"
+TOKEN = rf"{STRING}|{BACKTICK}|{BLOCK}|{LINE}|[{WHITE}]++|{NUMBER}|{IDENT}|[^'\"`/\-#.0-9A-Za-z_$\u0080-\U0010FFFF{WHITE}]++|[\s\S]"
 #: Stands for a number until signs are folded, so that the mark of a string is not taken for one.
 MARK = "\x01"
 #: A sign that cannot be a binary operator goes with its number.
@@ -38,7 +38,7 @@ VALUES_LIST = rf"(?<![A-Za-z0-9_$`])values *{GROUP}(?: *(?:, *)?{GROUP})*"
 #: Quotes as the classifiers skip them: a backslash does not escape in backticks.
 QUOTED = rf"{STRING}|{BACKTICK}"
 #: A conditional comment is executed, so only its opening is inert.
-CLASS_TOKEN = rf"{QUOTED}|/\*![0-9]*+|{BLOCK}|{LINE}|[{WHITE}]++|[A-Za-z_][A-Za-z0-9_$]*+|[\s\S]"
+CLASS_TOKEN = rf"{QUOTED}|/\*![0-9]*+|{BLOCK}|{LINE}|[{WHITE}]++|[A-Za-z_][A-Za-z0-9_$]*+|[^A-Za-z_'\"`/\-#;(){WHITE}]++|[\s\S]"
 INERT = rf"^(?:/\*|--(?:[{WHITE}]|$)|#|[{WHITE}])"
 WORD = r"^[A-Za-z_]"
 
@@ -177,15 +177,16 @@ def _ascii_lower(c: Column) -> Column:
 def fingerprint(sql: Column) -> Column:
     """X1 as a column."""
     tokens = F.regexp_extract_all(sql, F.lit(_java(TOKEN)), F.lit(0))
-    first = lambda t: F.substring(t, 1, 1)
-    parts = F.transform(
-        tokens,
-        lambda t: F.when(first(t).isin("'", '"'), F.lit("?"))
-        .when(first(t).isin(*" \t\n\f\r") | t.startswith("/*"), F.lit(" "))
-        .when((first(t) == "#") | ((first(t) == "-") & (F.length(t) > 1)), F.lit(""))
-        .when(t.rlike(r"^\.?[0-9]"), F.lit(MARK))
+    long = lambda t: F.length(t) > 1
+    mapped = lambda t: _let(  # by the code of the first character, as it is cheap to compare
+        F.ascii(t),
+        lambda c: F.when(c.isin(9, 10, 12, 13, 32) | ((c == 47) & long(t)), " ")
+        .when(c.between(48, 57) | ((c == 46) & long(t)), MARK)
+        .when(c.isin(34, 39), "?")
+        .when((c == 35) | ((c == 45) & long(t)), "")
         .otherwise(_ascii_lower(t)),
     )
+    parts = F.transform(tokens, mapped)
     s = F.regexp_replace(F.array_join(parts, ""), " +", " ")
     s = F.regexp_replace(F.regexp_replace(s, "^ ", ""), SIGN, "$1?")
     s = F.regexp_replace(F.translate(s, MARK, "?"), rf"^[{ENDS}]+|[;{ENDS}]+\z", "")
@@ -194,7 +195,14 @@ def fingerprint(sql: Column) -> Column:
 
 def _live(sql: Column) -> Column:
     """The tokens that the classifiers look at, in lower case."""
-    return F.filter(F.transform(F.regexp_extract_all(sql, F.lit(_java(CLASS_TOKEN)), F.lit(0)), _ascii_lower), lambda t: t.isin("/", "-") | ~t.rlike(INERT))
+    tokens = F.regexp_extract_all(sql, F.lit(_java(CLASS_TOKEN)), F.lit(0))
+    inert = lambda t: _let(F.ascii(t), lambda c: c.isin(9, 10, 12, 13, 32, 35) | (c.isin(45, 47) & (F.length(t) > 1)))
+    return F.transform(F.filter(tokens, lambda t: ~inert(t)), _ascii_lower)
+
+
+def _word_like(t: Column) -> Column:
+    c = F.ascii(t)
+    return c.between(97, 122) | (c == 95)
 
 
 def _placed(tokens: Column) -> Column:
@@ -202,34 +210,48 @@ def _placed(tokens: Column) -> Column:
     empty = F.array().cast("array<struct<w:string,d:int>>")
     step = lambda s, t: F.struct(
         (s["depth"] + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)).alias("depth"),
-        F.when(t.rlike(WORD), F.concat(s["words"], F.array(F.struct(t.alias("w"), s["depth"].alias("d"))))).otherwise(s["words"]).alias("words"),
+        F.when(_word_like(t), F.concat(s["words"], F.array(F.struct(t.alias("w"), s["depth"].alias("d"))))).otherwise(s["words"]).alias("words"),
     )
-    return F.aggregate(F.filter(tokens, lambda t: t.isin("(", ")") | t.rlike(WORD)), F.struct(F.lit(0).alias("depth"), empty.alias("words")), step, lambda s: s["words"])
+    return F.aggregate(F.filter(tokens, lambda t: t.isin("(", ")") | _word_like(t)), F.struct(F.lit(0).alias("depth"), empty.alias("words")), step, lambda s: s["words"])
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is used: columns have no names for parts of an expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def classify(sql: Column) -> Column:
     """X2 as a column: 'read' or 'write'."""
-    tokens = _live(sql)
+    return _let(_live(sql), lambda tokens: _let(_placed(tokens), lambda words: _class_of(tokens, words)))
+
+
+def _class_of(tokens: Column, words: Column) -> Column:
     several = F.exists(F.slice(tokens, F.greatest(F.array_position(tokens, ";").cast("int"), F.lit(1)), F.size(tokens)), lambda t: t != ";") & F.array_contains(tokens, ";")
-    words = _placed(tokens)
     word = lambda i: F.get(words, F.lit(i))["w"]
     names = lambda w: F.transform(w, lambda x: x["w"])
     rest = lambda w, n: F.slice(w, n, F.greatest(F.size(w), F.lit(1)))
 
     def files(w: Column) -> Column:
-        pairs = F.zip_with(names(w), rest(names(w), 2), lambda a, b: (a == "into") & b.isin("outfile", "dumpfile"))
-        return F.when(F.exists(pairs, lambda x: F.coalesce(x, F.lit(False))), "write").otherwise("read")
+        pairs = lambda n: F.zip_with(n, rest(n, 2), lambda a, b: (a == "into") & b.isin("outfile", "dumpfile"))
+        return F.when(_let(names(w), lambda n: F.exists(pairs(n), lambda x: F.coalesce(x, F.lit(False)))), "write").otherwise("read")
 
     def after_with(w: Column) -> Column:
-        verbs = F.transform(w, lambda x: F.when((x["d"] == 0) & x["w"].isin("select", *WRITE_VERBS), x["w"]).otherwise(F.lit("")))
-        at = F.coalesce(F.array_position(F.transform(verbs, lambda x: x != ""), True).cast("int"), F.lit(0))
-        return F.when((at == 0) | (F.get(verbs, at - 1) != "select"), "write").otherwise(files(rest(w, at + 1)))
+        verb = lambda x: F.when((x["d"] == 0) & x["w"].isin("select", *WRITE_VERBS), x["w"]).otherwise(F.lit(""))
+
+        def decide(verbs: Column) -> Column:
+            at = F.coalesce(F.array_position(F.transform(verbs, lambda x: x != ""), True).cast("int"), F.lit(0))
+            return F.when((at == 0) | (F.get(verbs, at - 1) != "select"), "write").otherwise(files(rest(w, at + 1)))
+
+        return _let(F.transform(w, verb), decide)
 
     tail = rest(words, 2)
+
+    def explained(at: Column) -> Column:
+        verb, below = F.get(rest(words, 3), at - 1)["w"], rest(words, at + 3)
+        return F.when(at == 0, "write").when(verb.isin("select", "table"), files(below)).when(verb == "with", after_with(below)).otherwise("write")
+
     skipped = F.transform(rest(words, 3), lambda x: ~x["w"].isin("format", "tree", "json"))
-    at = F.coalesce(F.array_position(skipped, True).cast("int"), F.lit(0))
-    verb, below = F.get(rest(words, 3), at - 1)["w"], rest(words, at + 3)
-    analyzed = F.when(at == 0, "write").when(verb.isin("select", "table"), files(below)).when(verb == "with", after_with(below)).otherwise("write")
+    analyzed = _let(F.coalesce(F.array_position(skipped, True).cast("int"), F.lit(0)), explained)
     return (
         F.when(several | (F.size(words) == 0), "write")
         .when(word(0) == "select", files(tail))
@@ -243,7 +265,7 @@ def classify(sql: Column) -> Column:
 
 def is_use(sql: Column) -> Column:
     """X4 as a column."""
-    words = F.filter(_live(sql), lambda t: t.rlike(WORD))
+    words = F.filter(_live(sql), _word_like)
     return F.coalesce(F.get(words, F.lit(0)) == "use", F.lit(False))
 
 
@@ -254,14 +276,16 @@ def should_execute(sql: Column, allow_writes: bool) -> Column:
 
 def is_nondeterministic(class_text: Column) -> Column:
     """X5 as a column."""
-    s = F.regexp_replace(class_text, _java(QUOTED), "`")
-    calls = F.regexp_extract_all(s, F.lit(rf"[A-Za-z_][A-Za-z0-9_$]*+[{WHITE}]*+(?:\([{WHITE}]*+\)?)?"), F.lit(0))
-    words = F.transform(calls, lambda c: F.regexp_extract(c, r"^[A-Za-z0-9_$]+", 0))
-    volatile = F.exists(
-        calls,
-        lambda c: F.regexp_extract(c, r"^[A-Za-z0-9_$]+", 0).isin(*VOLATILE_WORDS) | (c.contains("(") & (F.regexp_extract(c, r"^[A-Za-z0-9_$]+", 0).isin(*VOLATILE_CALLS) | (c.rlike(r"^unix_timestamp[^A-Za-z0-9_$]") & c.endswith(")")))),
-    )
-    return s.contains("@@") | volatile | (F.array_contains(words, "limit") & ~F.array_contains(words, "order"))
+    name = lambda c: F.regexp_extract(c, r"^[A-Za-z0-9_$]+", 0)
+    call = F.lit(rf"[A-Za-z_][A-Za-z0-9_$]*+[{WHITE}]*+(?:\([{WHITE}]*+\)?)?")
+
+    def decide(found: Column) -> Column:
+        volatile = F.exists(found, lambda x: x["w"].isin(*VOLATILE_WORDS) | (x["c"].contains("(") & (x["w"].isin(*VOLATILE_CALLS) | ((x["w"] == "unix_timestamp") & x["c"].endswith(")")))))
+        word = lambda w: F.exists(found, lambda x: x["w"] == w)
+        return volatile | (word("limit") & ~word("order"))
+
+    bare = F.regexp_replace(class_text, _java(QUOTED), "`")
+    return _let(bare, lambda s: s.contains("@@") | _let(F.transform(F.regexp_extract_all(s, call, F.lit(0)), lambda c: F.struct(name(c).alias("w"), c.alias("c"))), decide))
 
 
 def _pandas(f: Callable, kind: str):
