@@ -32,7 +32,7 @@ def brute(rows, depth):
             continue
         words.update((t or "").lower().split() + [None])
         for (bits, context), bit in decisions(t, depth):
-            for n in range(2, depth + 1):
+            for n in range(depth + 1):
                 count[bits, context[:n]][bit] += 1
                 if n < depth:
                     children[bits, context[:n]].add((bits, context[: n + 1]))
@@ -53,7 +53,7 @@ def brute(rows, depth):
 
     def one(bits, context):
         p = None
-        for n in range(depth, 1, -1):
+        for n in range(depth, -1, -1):
             node = bits, context[:n]
             if node in weighted:
                 own = (count[node][1] + 0.5) / (sum(count[node]) + 1)

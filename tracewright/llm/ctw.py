@@ -3,15 +3,15 @@
 A text's words, A-Z in lower case, are spelled as bytes with one space between words and an end byte. Each byte is coded as 8 binary
 decisions. Every decision has a context tree: its nodes are the preceding bytes, the nearest first, to a depth of DEPTH. A node
 has a Krichevsky-Trofimov estimate of the decision from the training texts. Estimates of all depths are mixed: a node weighs its own
-estimate against the product of its children's by how well each has coded the training texts, half and half beforehand. Trees are
-rooted at the two nearest bytes, which every longer context has too, so that they can be built independently;
-depths 2 to DEPTH are mixed. A node without training counts takes the estimate of its parent, and a root without counts is undecided (1/2).
+estimate against the product of its children's by how well each has coded the training texts, half and half beforehand. All depths
+from 0 to DEPTH are mixed. A node without training counts takes the estimate of its parent, and a root without counts is undecided (1/2).
 
 How it runs: texts are dealt by a hash of the row to chunks of about CHUNK_BYTES. A chunk sends its distinct (context, byte) grams and words
 with their training counts, packed in arrays, to buckets that are hashes of the two nearest bytes, or of the word. A bucket adds up what
-all chunks sent, weighs its trees, and answers each chunk with the log-probability of its grams and the counts of its words. A chunk
-then adds up its texts. All counts are over all training texts; what travels is distinct grams of chunks, never a row for each byte, and nothing
-is gathered at the driver.
+all chunks sent and weighs the subtrees below its pairs of bytes. What these subtrees amount to is added up by nearest byte and decision, 65,536
+rows at most, from which the driver works out the nodes of depths 1 and 0. A bucket then answers each chunk with the log-probability
+of its grams and the counts of its words, and a chunk adds up its texts. All counts are over all training texts; what travels is distinct
+grams of chunks, never a row for each byte.
 
 Words are told apart by 64-bit hashes. The base score is that of the unigram model with additive smoothing 0.1.
 
@@ -30,13 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import LOWER, fold, table, tuned
+from tracewright.llm.common import LOWER, fold, materialize, table, tuned
 
 DEPTH, ROOT = 5, 2
 CHUNK_BYTES = 8 << 20
 END = 0xFF
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 MESSAGE = "kind string, bucket int, chunk long, keys binary, counts binary"
+TOPS = "place long, ones double, n double, rest double"
 ANSWER = "kind string, bucket int, chunk long, payload binary, train_tokens long, distinct_tokens long"
 
 
@@ -95,6 +96,7 @@ class Trees:
     def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int):
         self.depth = depth
         self.nodes: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.roots: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
         seen = counts > 0
         keys, counts = keys[seen], counts[seen].astype(np.float64)
         weighted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -117,11 +119,22 @@ class Trees:
                     share = 1 / (1 + np.exp(np.clip(rest - own, -700, 700)))
                     own = math.log(0.5) + np.logaddexp(own, rest)
                 self.nodes[d, bit] = parents, (ones + 0.5) / (both + 1), share
+                if d == ROOT:
+                    self.roots[bit] = parents, ones, both, own
                 weighted[bit] = parents, own
                 leaves, total = parents, both
 
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each gram's byte in its context."""
+    def tops(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What the subtrees below pairs of bytes amount to, by nearest byte and decision: (256 * byte + decision, ones, all, weighted log)."""
+        out = []
+        for bit, (nodes, ones, both, own) in self.roots.items():
+            place = (nodes >> np.uint64(8 + bit) << np.uint64(8)) | np.uint64(1 << bit) | (nodes & np.uint64((1 << bit) - 1))
+            found, at = np.unique(place, return_inverse=True)
+            out.append((found.astype(np.int64), *(np.bincount(at, weights=x, minlength=len(found)) for x in (ones, both, own))))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def log10(self, keys: np.ndarray, top: np.ndarray | None = None) -> np.ndarray:
+        """log10 of the probability of each gram's byte in its context; ``top`` has the nodes above, as ``upper_nodes`` gives them."""
         out = np.zeros(len(keys))
         for bit in range(8):
             mixed, known = np.full(len(keys), 0.5), np.zeros(len(keys), bool)
@@ -134,10 +147,35 @@ class Trees:
                 here = nodes[at] == wanted
                 mixed = np.where(here, np.where(known, share[at] * one[at] + (1 - share[at]) * mixed, one[at]), mixed)
                 known |= here
+            if top is not None:
+                decision = ((np.uint64(1) << np.uint64(bit)) | ((keys & np.uint64(255)) >> np.uint64(8 - bit))).astype(np.int64)
+                nearest = (keys >> np.uint64(8 * self.depth)).astype(np.int64)
+                for at in (256 * nearest + decision, (1 << 16) + decision):
+                    one, share, here = top[0][at], top[1][at], top[2][at] > 0
+                    mixed = np.where(here, np.where(known, share * one + (1 - share) * mixed, one), mixed)
+                    known |= here
             out += np.log10(np.where((keys >> np.uint64(7 - bit)) & np.uint64(1), mixed, 1 - mixed))
         return out
 
 
+def upper_nodes(places: np.ndarray, ones: np.ndarray, both: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """(estimates, weights of the own estimate, whether there are counts) of the nodes of depth 1, then of depth 0, from summed ``Trees.tops``."""
+    out = np.zeros((3, (1 << 16) + 256))
+    below = np.zeros((3, 256, 256))
+    below[:, places // 256, places % 256] = ones, both, rest
+
+    def weigh(n1: np.ndarray, n: np.ndarray, rest: np.ndarray):
+        own = _log_gamma_half(n1) + _log_gamma_half(n - n1) - _log_gamma(n + 1) - math.log(math.pi)
+        mixed = np.where(n > 0, math.log(0.5) + np.logaddexp(own, rest), 0)
+        return (n1 + 0.5) / (n + 1), 1 / (1 + np.exp(np.clip(rest - own, -700, 700))), n > 0, mixed
+
+    *first, mixed = weigh(*below)
+    out[:, : 1 << 16] = [x.reshape(-1) for x in first]
+    *root, _ = weigh(below[0].sum(axis=0), below[1].sum(axis=0), mixed.sum(axis=0))
+    out[:, 1 << 16 :] = root
+    return out
+
+
 def _in_buckets(keys: np.ndarray, where: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of ``keys`` by bucket and then by number, and where each bucket starts in it."""
     order = np.lexsort((keys, where))
@@ -238,19 +276,34 @@ def _tell(depth: int, buckets: int):
     return tell
 
 
-def _answer(depth: int):
+def _added(told: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What each chunk asks, then all keys in order, and of the distinct ones the place of each key, and the summed counts."""
+    framed = [_opened(x) for x in told.column("keys").to_pylist()]
+    each = [_unpack_keys(data, n) for n, data in framed]
+    counts = [_unpack(x, np.uint64, n) for (n, _), x in zip(framed, told.column("counts").to_pylist(), strict=True)]
+    keys = np.concatenate(each)
+    order = np.argsort(keys, kind="stable")
+    distinct, place = _runs(keys[order])
+    total = np.bincount(place, weights=np.concatenate(counts)[order].astype(np.float64), minlength=len(distinct))
+    return each, order, distinct, place, total
+
+
+def _sum_up(depth: int):
+    def sum_up(told: pa.Table) -> pa.Table:
+        _, _, distinct, _, total = _added(told)
+        place, *sums = Trees(distinct, total, depth).tops()
+        return pa.table([pa.array(place, pa.int64()), *(pa.array(np.asarray(x, np.float64)) for x in sums)], [c.split()[0] for c in TOPS.split(", ")])
+
+    return sum_up
+
+
+def _answer(depth: int, top: np.ndarray):
     def answer(told: pa.Table) -> pa.Table:
         kind, bucket = told.column("kind")[0].as_py(), told.column("bucket")[0].as_py()
         chunks = told.column("chunk").to_pylist()
-        framed = [_opened(x) for x in told.column("keys").to_pylist()]
-        each = [_unpack_keys(data, n) for n, data in framed]
-        counts = [_unpack(x, np.uint64, n) for (n, _), x in zip(framed, told.column("counts").to_pylist(), strict=True)]
-        keys = np.concatenate(each)
-        order = np.argsort(keys, kind="stable")
-        distinct, place = _runs(keys[order])
-        total = np.bincount(place, weights=np.concatenate(counts)[order].astype(np.float64), minlength=len(distinct))
-        values = total if kind == "w" else Trees(distinct, total, depth).log10(distinct)
-        of_key = np.empty(len(keys))
+        each, order, distinct, place, total = _added(told)
+        values = total if kind == "w" else Trees(distinct, total, depth).log10(distinct, top)
+        of_key = np.empty(len(order))
         of_key[order] = values[place]
         payloads, at = [], 0
         for k in each:
@@ -325,8 +378,12 @@ def ctw_scores(docs: DataFrame, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYT
         (fold("doc_id", modulus) == 0).alias("held_out"),
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"),
     )
-    told = rows.groupBy("chunk").applyInArrow(_tell(depth, buckets), MESSAGE)
-    answers = told.groupBy("kind", "bucket").applyInArrow(_answer(depth), ANSWER)
+    told = materialize(rows.groupBy("chunk").applyInArrow(_tell(depth, buckets), MESSAGE), "told")
+    tops = told.where("kind = 'g'").groupBy("bucket").applyInArrow(_sum_up(depth), TOPS)
+    summed = tops.groupBy("place").agg(F.sum("ones"), F.sum("n"), F.sum("rest")).collect()  # a row for each byte and decision: 65,536 at most
+    places, *sums = (np.array(x) for x in zip(*summed, strict=True)) if summed else (np.zeros(0, np.int64), *[np.zeros(0)] * 3)
+    top = upper_nodes(places.astype(np.int64), *sums)
+    answers = told.groupBy("kind", "bucket").applyInArrow(_answer(depth, top), ANSWER)
     return rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(depth, buckets), RESULT)
 
 
