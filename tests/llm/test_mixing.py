@@ -88,3 +88,28 @@ def test_written_order_is_the_mix(spark, tmp_path):
 def test_plan_has_no_python(spark, sf_dir):
     for df in (mixing.op5_pfair_mixing(spark, sf_dir), mixing.mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))):
         assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_sources_of_a_tail_keep_their_documents(spark):
+    """Shares that are raised to one slot never lose it to the rounding of the others."""
+    empty = [(i, "x" * 1000, "a", "", 0, "") for i in range(1000)] + [(2000, "", "b", "", 0, ""), (2001, None, "c", "", 0, "")]
+    tail = [(i, "x" * 100_000, "hot", "", 0, "") for i in range(100)] + [(1000 + i, "y" * 5, f"s{i:02}", "", 0, "") for i in range(50)]
+    mixed = [(i, "x" * 10_000, "hot", "", 0, "") for i in range(100)] + [(200 + i, "x" * 20, f"m{i}", "", 0, "") for i in range(3)] + [(300 + i, "y", f"s{i:02}", "", 0, "") for i in range(30)]
+    for rows in (empty, tail, mixed):
+        frame = spark.createDataFrame(rows, SCHEMA)
+        got = mixing.schedule(frame).collect()
+        assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
+        assert all(r.release <= r.slot < r.deadline for r in got)
+        assert mixing.mixed(frame).count() == mixing.slotted(frame).count() == len(rows)
+
+
+def test_shares_fill_the_period(spark):
+    """Every source has a slot at least and the slots of a period are given out whole; rounds take from all shares above one."""
+    sizes = {"a": 10**6, "b": 9 * 10**4, "c": 4 * 10**4} | {f"t{i:02}": 0 for i in range(40)}
+    totals = spark.createDataFrame(list(sizes.items()), "name string, chars long")
+    for weights in (None, {"a": 0.98, "b": 0.01, "c": 0.01}):
+        named = totals if weights is None else totals.selectExpr("concat('s', name) AS name", "chars")
+        slots = mixing.period(named, weights, 100).collect()
+        assert len(slots) == slots[0].q == 16 * 43 and len({r.slot for r in slots}) == len(slots)
+        n = {r.name: r.n for r in slots}
+        assert len(n) == 43 and sum(n.values()) == 16 * 43 and min(n.values()) == 1

@@ -46,6 +46,11 @@ aggregate(
   state -> state.picks)
 """
 
+#: Rounds in which every share above one can give a slot, as far as ``over`` slots go; the last round, in part, goes by ``down``.
+ROUNDS = "aggregate(sequence(0L, over), 0L, (k, j) -> if(aggregate(of, 0L, (a, x) -> a + least(x.n - 1, j)) <= over, j, k))"
+REST = "over - aggregate(of, 0L, (a, x) -> a + least(x.n - 1, rounds))"
+GIVEN = "transform(of, x -> named_struct('name', x.name, 'n', x.n - least(x.n - 1, rounds) - if(x.n - 1 > rounds AND x.down <= rest, 1L, 0L)))"
+
 
 def _named(source: Column) -> Column:
     """A text for each source that is not null, even for the null source."""
@@ -64,11 +69,12 @@ def period(totals: DataFrame, weights: dict[str, float] | None, resolution: int)
     over = W.partitionBy(F.lit(1))
     every = asked.withColumn("all", F.greatest(F.sum("r").over(over), F.lit(1))).withColumn("q", F.greatest(F.lit(resolution), 16 * F.count("*").over(over)).cast("int"))
     share = every.withColumn("n", F.greatest(F.expr("cast(cast(r as decimal(38,0)) * q div all as bigint)"), F.lit(1).cast("long"))).withColumn("rest", F.expr("cast(r as decimal(38,0)) * q % all"))
-    # What rounding has left over goes to the largest remainders; what it has taken too much, from the largest shares.
+    # What rounding has left over goes to the largest remainders; what it has taken too much comes from the largest shares above one, in rounds.
     share = share.withColumn("left", F.col("q") - F.sum("n").over(over))
     share = share.withColumn("up", F.row_number().over(over.orderBy(F.desc("rest"), "name"))).withColumn("down", F.row_number().over(over.orderBy(F.desc("n"), "name")))
-    share = share.withColumn("n", F.col("n") + F.when(F.col("up") <= F.col("left"), 1).when(F.col("down") <= -F.col("left"), -1).otherwise(0))
-    listed = share.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("name", "n"))).alias("of")).select("q", "of", F.col("of.n").alias("ns"))
+    share = share.withColumn("n", F.col("n") + F.when(F.col("up") <= F.col("left"), 1).otherwise(0))
+    listed = share.groupBy("q", F.greatest(-F.col("left"), F.lit(0).cast("long")).alias("over")).agg(F.array_sort(F.collect_list(F.struct("name", "n", "down"))).alias("of"))
+    listed = listed.withColumn("rounds", F.expr(ROUNDS)).withColumn("rest", F.expr(REST)).select("q", F.expr(GIVEN).alias("of")).select("q", "of", F.col("of.n").alias("ns"))
     slots = listed.select("q", "of", F.posexplode(F.expr(PERIOD)).alias("slot", "i")).select("q", "slot", F.col("of")[F.col("i")].alias("x")).select("q", "slot", "x.name", "x.n")
     return slots.withColumn("job", (F.row_number().over(W.partitionBy("name").orderBy("slot")) - 1).cast("long"))
 
