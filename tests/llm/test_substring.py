@@ -76,3 +76,12 @@ def test_index_over_batches(spark):
     assert sorted(r[0] for r in index.ingest(frame([(4, 30), (5, 30)])).collect()) == [4]
     assert len(index.runs) == 1
     assert sorted(tuple(r) for r in index.history().collect()) == [(1, 5), (2, 10), (3, 11), (4, 20), (5, 30)]
+
+
+def test_repeated_rows_that_lose_a_part(spark):
+    """Rows of one document, as they are or with other white space, are cut alike and stay as many as they were."""
+    passage, own = " ".join(f"p{i}" for i in range(60)), " ".join(f"o{i}" for i in range(20))
+    rows = [(1, passage, "", 0)] + [(2, f"{own} {passage}", "", 0)] * 3 + [(2, f"{own}\n{passage}", "", 0), (3, f"{own} {passage}", "", 0), (None, f"{own} {passage}", "", 0)]
+    got = result(spark.createDataFrame(rows, SCHEMA))
+    assert got == brute(rows)
+    assert [r[2] for r in got] == [0, 0, 60, 60, 60, 60, 80]

@@ -198,9 +198,9 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     hits = named.select("first", "sha", F.explode("prints").alias("print")).join(shared.distinct(), "print").groupBy("first", "sha").agg(F.collect_list("print").alias("shared"))
     windows = materialize(texts.join(hits.withColumnRenamed("first", "doc_id"), "doc_id").mapInArrow(_verify, "one long, two int, doc_id long"), "windows")
     firsts = windows.groupBy("one", "two").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("one", "two", "first")
-    gone = windows.join(firsts, ["one", "two"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_list("one").alias("gone"))
+    gone = windows.join(firsts, ["one", "two"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("one").alias("gone"))
     gone = gone.join(distinct.where("first IS NOT NULL").select(F.col("first").alias("doc_id"), "sha"), "doc_id")
-    cut = texts.join(gone, "doc_id").mapInArrow(_cut, "sha string, n_removed long, kept_sha256 string")
+    cut = texts.join(gone, "doc_id").mapInArrow(_cut, "sha string, n_removed long, kept_sha256 string").dropDuplicates(["sha"])  # repeated rows are cut once each
     known = distinct.select("sha", "first").join(cut, "sha", "left")
     copy = F.expr(f"doc_id > first AND n_words >= {WINDOW}")
     return signed.join(known, "sha").select(
