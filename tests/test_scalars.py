@@ -27,6 +27,12 @@ def test_formats(spark):
     assert X.truncate_bytes("é" * 200) == "é" * 150 + "…" and X.truncate_bytes("x" * 300) == "x" * 300
 
 
+def test_percent_rounds_ties_to_even(spark):
+    rng = random.Random(3)
+    x = [0.25, 0.75, -0.25, -0.75, 1.25, 0.15, 0.05, 0.35, -0.45, 1.005, -0.04, 0.0, 2.0**52 + 1, 1e17] + [i / 20 for i in range(-400, 400)] + [rng.uniform(-1e4, 1e4) for _ in range(200)]
+    assert values(spark, X.fmt_pct, x, "double") == [f"{v:+.1f}%" for v in x]
+
+
 def test_urls(spark):
     want = {"mysql://u:secret@h:3306/db": "mysql://u:***@h:3306/db", "mysql://u:p@x:y@h/d": "mysql://u:***@h/d", "mysql://u@h/d": "mysql://u@h/d", "no url": "no url", "mysql://h:3306/a@b": "mysql://h:3306/a@b", "m://u:p#x@h": "m://u:p#x@h"}
     assert dict(zip(want, values(spark, X.redact_url, list(want)), strict=True)) == want

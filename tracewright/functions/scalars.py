@@ -62,8 +62,14 @@ def fmt_ms(us: Column) -> Column:
 
 
 def fmt_pct(pct: Column) -> Column:
-    """X12."""
-    return F.when(pct.isNull(), "n/a").otherwise(F.format_string("%+.1f%%", pct))
+    """X12. Ties round to even."""
+    # Ten times the value is tenths + low exactly, so that 0.25 is a tie and 0.15, which lies below, is none.
+    p = pct.cast("double")
+    tenths = p * 8 + p * 2
+    low = p * 2 - (tenths - p * 8)
+    near = F.rint(tenths)
+    near = F.when((F.abs(tenths - near) == 0.5) & (low != 0), tenths + F.signum(low) / 2).otherwise(near)
+    return F.when(p.isNull(), "n/a").otherwise(F.format_string("%+.1f%%", F.when(F.abs(p) < 1 << 50, near / 10).otherwise(p)))
 
 
 def truncate_chars(s: Column, n: int) -> Column:
