@@ -88,3 +88,44 @@ def test_components_of_a_long_path(spark):
     edges = spark.range(200).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {i: 0 for i in range(201)}
+
+
+def jaccard_pairs(rows):
+    """Pairs of rows whose 5-word shingles have a similarity of 0.8, by comparing all."""
+    sets = {}
+    for d, text, *_ in rows:
+        w = (text or "").lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    return {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+
+
+def test_keep_one_drops_near_copies(spark):
+    """Texts of similarity 0.8 and more are copies, however many bits their fingerprints differ in; less similar ones stay."""
+    rng = random.Random(8)
+    words = [f"word{i}" for i in range(3000)]
+    rows = []
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(rng.choice([30, 100, 400]))]
+        for changed in (0, 1, 2, 4, 20):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), changed * len(copy) // 250 + (changed > 0)):
+                copy[at] = "changed"
+            rows.append((len(rows), " ".join(copy), "x", 0))
+    prints = {r[0]: fingerprint(r[1]) for r in rows}
+    pairs = jaccard_pairs(rows)
+    assert sum((prints[a] ^ prints[b]).bit_count() > 2 for a, b in pairs) > 50
+    root = dict(components(prints))
+    for _ in range(9):
+        for a, b in pairs | {(c, d) for d, c in root.items()}:
+            low = min(root[a], root[b])
+            root = {d: low if c in (root[a], root[b]) else c for d, c in root.items()}
+    kept = sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA), similar=True).collect())
+    assert kept == sorted(d for d, c in root.items() if c == d)
+
+
+def test_near_copies_in_a_large_group(spark):
+    """A group of many copies, each with a change of its own, becomes one; texts that only share a passage stay apart."""
+    base = [f"b{i}" for i in range(300)]
+    rows = [(i, " ".join([*base[: i % 290], f"own{i}", *base[i % 290 + 1 :]]), "x", 0) for i in range(500)]
+    rows += [(1000 + i, " ".join([*base[:60], *(f"u{i}x{j}" for j in range(60))]), "x", 0) for i in range(40)]
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA), similar=True).collect()) == [0, *range(1000, 1040)]

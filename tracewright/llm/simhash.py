@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewright.llm import minhash
 from tracewright.llm.common import LOWER, materialize, table, tuned
 from tracewright.llm.graph import connected_components
 
@@ -64,6 +65,21 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, print long")
 
 
+def _signed(batches):
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        prints = np.array([simhash(x) for x in texts], np.uint64)
+        sets = [minhash.shingles(x) for x in texts]
+        bands = pa.array([minhash.bands(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
+        yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array(prints.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), bands], ["doc_id", "key", "print", "n", "bands"])
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """``fingerprints`` with what ``minhash.copies`` needs: (doc_id, key, print, n, bands)."""
+    tuned(docs.sparkSession)
+    return docs.select("doc_id", minhash.key().alias("key"), F.col("text").cast("binary").alias("text")).mapInArrow(_signed, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, print long, n long, bands array<long>")
+
+
 def links(prints: DataFrame) -> DataFrame:
     """(src, dst) over distinct fingerprints ``print``: a sparse set of links that joins what lies within RADIUS bits."""
     signed = lambda x: x - (1 << 64) if x >> 63 else x
@@ -80,21 +96,22 @@ def links(prints: DataFrame) -> DataFrame:
     return keys.join(met.hint("merge"), "key").where("print <> first").select(F.col("print").alias("src"), F.col("first").alias("dst")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of ``docs``."""
-    prints = materialize(fingerprints(docs), "simhash")
+def near_duplicates(docs: DataFrame, similar: bool = False) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of ``docs``; if ``similar``, near copies by ``minhash`` are linked as well."""
+    prints = materialize(signed(docs) if similar else fingerprints(docs), "simhash")
     firsts = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
-    parts = connected_components(links(firsts.select("print")))
+    linked = links(firsts.select("print"))
+    parts = connected_components(linked.unionByName(minhash.copies(docs, prints, RADIUS)) if similar else linked)
     rooted = firsts.join(parts.withColumnRenamed("node", "print").hint("merge"), "print", "left").withColumn("root", F.coalesce("component", "print"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_print = rooted.select("print", "root").join(least.hint("merge"), "root").select("print", "component_id")
     return prints.join(of_print.hint("merge"), "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document, that of the smallest doc_id, of each group of near-duplicates. Rows without doc_id stay."""
+def keep_one(docs: DataFrame, similar: bool = False) -> DataFrame:
+    """``docs`` with one document, that of the smallest doc_id, of each group of near-duplicates, as ``near_duplicates`` links them. Rows without doc_id stay."""
     named = docs.where("doc_id IS NOT NULL")
-    kept = near_duplicates(named).where("doc_id = component_id").select("doc_id").distinct()
+    kept = near_duplicates(named, similar).where("doc_id = component_id").select("doc_id").distinct()
     return named.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
