@@ -1,18 +1,26 @@
-"""Operator 10: toxicity by class-conditional Kneser-Ney models.
+"""Operator 10: toxicity by class-conditional Kneser-Ney models of word sequences.
 
-Words are spelled as UTF-8 bytes, A-Z in lower case, between blanks. A shared Kneser-Ney model of order ORDER has the pooled counts of both
-classes, with continuation counts below the highest order. The toxic and the ordinary model discount their own counts of the highest
-order and give what that leaves to the shared model, so an expression that is rare in a class is smoothed by what both classes
-have seen, and one that neither favours weighs nothing. A word's weight is the log-likelihood ratio of the two models.
+Words are lower-cased (A-Z). Each class, toxic and ordinary, has a model of three layers, every one of which discounts its counts and leaves
+what that frees to the layer below:
 
-A text is compared by ratios normalised for length: over the whole text, over its most toxic passage of PASSAGE words, and over its
-most toxic words, since a long text can be toxic in one place. A logistic regression on these, fitted on labelled rows that the models have not seen,
-makes them a probability, and is shifted to the share of toxic rows among all training labels.
+* pairs of words, and below them words, by the class's continuation counts (after how many different words it has seen them), so
+  that copies of a text count once;
+* the spelling of words as bytes, in runs of ORDER bytes. The class's counts, of distinct words, are used for the longest runs only. Below
+  them both classes back off to shared continuation counts, so a rare expression that neither class favours weighs nothing.
+
+Words and pairs are discounted by one: what was seen once is left to the layer below. A pair's backoff weight is that of both classes
+together, so a pair seen in neither class weighs what its second word weighs.
+
+A word's ratio is the difference of its log-likelihoods in the two models. A text is scored by its ratios normalised for length: that of
+the whole text, those of its worst passages of PASSAGES words, and that of the text as a mixture, in which a share of SHARE of the words
+is toxic and the rest ordinary. A logistic regression on these, fitted on labelled rows that the models have not seen, makes them a probability, and
+is shifted to the share of toxic rows among all training labels.
 
 The models are fitted at the driver on a bounded sample of labelled rows: SAMPLE = (toxic, ordinary) rows at most, those whose doc_id has the
-smallest hashes. What executors get is a table of the sample's byte runs.
+smallest hashes, and SAMPLE_BYTES of their text at most. What executors get are tables of the sample's words, pairs and byte runs.
 
-Cases: null and empty texts have the ratios 0. Rows of ``labels`` without a label or a document do not count; if a doc_id has
+Cases: null and empty texts have the ratios 0. Texts of any length are scored whole, BATCH_BYTES of texts at a time, and a longer text by itself; a text
+longer than a sixteenth of SAMPLE_BYTES is not learnt from. Rows of ``labels`` without a label or a document do not count; if a doc_id has
 several labels, the largest does; if it has several texts, the smallest is learnt from. If a class has no rows to learn from, every
 score is the share of toxic rows, 0 if there are none. A null doc_id hashes as the empty text and has no label. Repeated rows are
 scored alike. An empty table gives an empty result. Other columns are ignored.
@@ -21,21 +29,28 @@ scored alike. An empty table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import LOWER, fold, table, tuned
+from tracewright.llm.common import LOWER, fold, materialize, table, tuned
+from tracewright.llm.substring import _mixed, word_hashes
 
-ORDER, PASSAGE, TOP, SAMPLE, THRESHOLD = 8, 8, 4, (3000, 6000), 0.3
+ORDER, PASSAGES, SHARE, THRESHOLD = 8, (1, 2, 4, 8), 0.002, 0.3
+SAMPLE, SAMPLE_BYTES = (3000, 6000), 32 << 20
+#: What a word must have been followed by, before its pairs count for more than the words below them.
+PRIOR = 1000
 #: One in so many sampled rows calibrates; the models have the others.
 CALIBRATE = 5
-CACHE_WORDS = 400_000
+#: Bytes of texts that are looked up together.
+BATCH_BYTES = 1 << 19
+#: Multiplier that tells the first word of a pair from the second: a fixed value.
+FIRST = np.uint64(0x9E3779B97F4A7C15)
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -64,11 +79,17 @@ def _discount(counts: np.ndarray) -> float:
     return one / (one + 2 * two) if one else 0.5
 
 
-def _of(keys: np.ndarray, found: np.ndarray, values: np.ndarray, default: float) -> np.ndarray:
+def _places(keys: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each key among the sorted ``found``, and whether it is there."""
     if not len(found):
-        return np.full(len(keys), default)
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
     at = np.minimum(np.searchsorted(found, keys), len(found) - 1)
-    return np.where(found[at] == keys, values[at], default)
+    return at, found[at] == keys
+
+
+def _of(keys: np.ndarray, found: np.ndarray, values: np.ndarray, default: float) -> np.ndarray:
+    at, there = _places(keys, found)
+    return np.where(there, values[at], default) if len(found) else np.full(len(keys), default)
 
 
 def _shared(runs: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -88,80 +109,144 @@ def _shared(runs: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return p
 
 
-def train(texts: Iterable[list[bytes]], toxic: Iterable[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(runs, their weights, contexts, the weights of runs that were never seen after them)."""
-    words: list[Counter] = [Counter(), Counter()]
-    for text, t in zip(texts, toxic, strict=True):
-        words[bool(t)].update(text)
-    sides = []
-    for count in words:
-        names, found = list(count), (np.zeros(0, np.uint64), np.zeros(0))
-        for at in range(0, len(names), 50_000):
-            some = names[at : at + 50_000]
-            runs, starts = _spellings(some)
-            times = np.repeat(np.array([count[x] for x in some], np.float64), np.diff(np.append(starts, len(runs))))
-            keys, n = _summed(runs, times)
-            found = _summed(np.concatenate((found[0], keys)), np.concatenate((found[1], n)))
-        sides.append(found)
-        count.clear()
-    runs, counts = _summed(np.concatenate([s[0] for s in sides]), np.concatenate([s[1] for s in sides]))
-    if not len(runs):
-        return runs, counts, runs, counts
-    shared = _shared(runs, counts)
-    contexts, place = np.unique(runs >> np.uint64(8), return_inverse=True)
-    weight, unseen = np.zeros(len(runs)), np.zeros(len(contexts))
-    for sign, (keys, n) in zip((-1, 1), sides, strict=True):
-        d = _discount(n)
-        own = _of(runs, keys, n, 0.0)
-        total, kinds = np.bincount(place, weights=own, minlength=len(contexts)), np.bincount(place, weights=own > 0, minlength=len(contexts))
-        left = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
-        weight += sign * np.log(np.maximum(own - d, 0) / np.maximum(total[place], 1) + left[place] * shared)
-        unseen += sign * np.log(left)
-    return runs, weight.astype(np.float32), contexts, unseen.astype(np.float32)
-
-
-class Weigher:
-    """Ratios of words, remembered, and the features of texts."""
-
-    def __init__(self, model):
-        self.runs, self.weights, self.contexts, self.unseen = model
-        self.known: dict[bytes, float] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
+class Spelling:
+    """Both classes' models of how words are spelled, learnt from the distinct words of each class."""
+
+    def __init__(self, words: tuple[list[bytes], list[bytes]]):
+        sides = []
+        for names in words:
+            found = (np.zeros(0, np.uint64), np.zeros(0))
+            for at in range(0, len(names), 50_000):
+                keys = _spellings(names[at : at + 50_000])[0]
+                found = _summed(np.concatenate((found[0], keys)), np.concatenate((found[1], np.ones(len(keys)))))
+            sides.append(found)
+        self.runs, counts = _summed(np.concatenate([s[0] for s in sides]), np.concatenate([s[1] for s in sides]))
+        shared = _shared(self.runs, counts)
+        self.contexts, place = np.unique(self.runs >> np.uint64(8), return_inverse=True)
+        self.logs, self.unseen = np.zeros((2, len(self.runs)), np.float32), np.zeros((2, len(self.contexts)), np.float32)
+        for c, (keys, n) in enumerate(sides):
+            d = _discount(n)
+            own = _of(self.runs, keys, n, 0.0)
+            total, kinds = np.bincount(place, weights=own, minlength=len(self.contexts)), np.bincount(place, weights=own > 0, minlength=len(self.contexts))
+            left = np.where(total > 0, d * kinds / np.maximum(total, 1), 1.0)
+            self.logs[c] = np.log(np.maximum(own - d, 0) / np.maximum(total[place], 1) + left[place] * shared)
+            self.unseen[c] = np.log(left)
+
+    def log(self, words: list[bytes]) -> np.ndarray:
+        """The log-likelihood of each word's spelling in the ordinary and the toxic model; a run that neither has seen is one byte of 256."""
+        out = np.zeros((2, len(words)))
         for at in range(0, len(words), 20_000):
             some = words[at : at + 20_000]
             runs, starts = _spellings(some)
-            there = np.minimum(np.searchsorted(self.runs, runs), len(self.runs) - 1)
-            hit = self.runs[there] == runs
-            value = np.where(hit, self.weights[there], 0)
-            rest = np.flatnonzero(~hit)
-            value[rest] = _of(runs[rest] >> np.uint64(8), self.contexts, self.unseen, 0.0)
-            self.known.update(zip(some, np.add.reduceat(value.astype(np.float64), starts).tolist(), strict=True))
-
-    def features(self, texts: list[list[bytes]]) -> np.ndarray:
-        """Mean ratio per word of each text, of its most toxic passage, and the ratio of its most toxic word; the second of its words, the
-        sum of its TOP most toxic words, and its length. Ratios count by their square roots, lengths by their logarithm."""
-        out = np.zeros((len(texts), 6))
-        if not len(self.runs):
-            return out
-        new = list({w for t in texts for w in t} - self.known.keys())
-        self._learn(new)
-        for i, words in enumerate(texts):
-            if not words:
-                continue
-            try:
-                ratio = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
-            except KeyError:  # the known words were forgotten meanwhile
-                self._learn(list(set(words)))
-                ratio = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
-            sums = np.concatenate(([0.0], np.cumsum(ratio)))
-            span = min(PASSAGE, len(words))
-            most = np.sort(np.partition(ratio, len(ratio) - TOP)[-TOP:] if len(ratio) > TOP else ratio)[::-1]
-            toxic = np.maximum(most, 0)
-            out[i] = sums[-1] / len(words), ((sums[span:] - sums[:-span]) / span).max(), most[0], toxic[1] if len(toxic) > 1 else 0, toxic.sum(), len(words)
-        return np.column_stack((np.sign(out[:, :5]) * np.sqrt(np.abs(out[:, :5])), np.log1p(out[:, 5])))
+            place, hit = _places(runs, self.runs)
+            context, met = _places(runs >> np.uint64(8), self.contexts)
+            for c in (0, 1):
+                value = np.where(hit, self.logs[c][place], np.where(met, self.unseen[c][context], 0.0) - np.log(256)).astype(np.float64)
+                out[c, at : at + len(some)] = np.add.reduceat(value, starts)
+        return out
+
+
+def _pairs(hashes: np.ndarray) -> np.ndarray:
+    """A key for each word with the one before it, from the second word on."""
+    return _mixed(hashes[:-1] * FIRST + hashes[1:])
+
+
+class Ratios:
+    """The two classes' models, as the ratios of words and pairs that differ from what the spelling says."""
+
+    def __init__(self, texts: Iterable[bytes], toxic: Iterable[bool]):
+        """``texts`` in lower case."""
+        hashes: tuple[list, list] = ([], [])
+        names: tuple[dict, dict] = ({}, {})
+        for text, t in zip(texts, toxic, strict=True):
+            words, h = text.split(), word_hashes(text)
+            # A text starts after two empty words, so its first word and pair have a word before them, too.
+            hashes[bool(t)].append(np.concatenate((np.zeros(2, np.uint64), h)))
+            some, at = np.unique(h, return_index=True)
+            names[bool(t)].update(zip(some.tolist(), map(words.__getitem__, at.tolist()), strict=True))
+        self.spelling = Spelling((list(names[0].values()), list(names[1].values())))
+        vocabulary = np.array(sorted(names[0].keys() | names[1].keys()), np.uint64)
+        firsts = np.unique(np.concatenate((vocabulary, np.zeros(1, np.uint64))))
+        pairs, of_pair = [], []
+        for side in hashes:
+            u, v, w = (np.concatenate([np.zeros(0, np.uint64), *(h[i : len(h) - 2 + i] for h in side)]) for i in range(3))
+            own = _mixed(v * FIRST + w)
+            at = np.unique(_mixed(u * FIRST + own), return_index=True)[1]
+            keys, first, n = np.unique(own[at], return_index=True, return_counts=True)
+            pairs.append((keys, n.astype(np.float64)))
+            of_pair.append((v[at][first], w[at][first]))
+        # Continuation counts, discounted by one; the rest of the mass is spelled.
+        self.left, own = [], []
+        for _, w in of_pair:
+            found, k = np.unique(w, return_counts=True)
+            k = _of(vocabulary, found, k.astype(np.float64), 0.0)
+            total = max(1.0, k.sum())
+            own.append(np.maximum(k - 1, 0) / total)
+            self.left.append(max(1.0, float((k > 0).sum())) / total)
+        # Pairs that a class has seen after more than one word.
+        keys, place = np.unique(np.concatenate([x[0] for x in pairs]), return_index=True)
+        n = [_of(keys, *x, 0.0) for x in pairs]
+        first, second = (np.concatenate([x[i] for x in of_pair])[place] for i in (0, 1))
+        first = np.searchsorted(firsts, first)
+        total = [np.bincount(first, weights=x, minlength=len(firsts)) for x in n]
+        free = (sum(np.bincount(first, weights=np.minimum(x, 1), minlength=len(firsts)) for x in n) + 2 * PRIOR) / (total[0] + total[1] + 2 * PRIOR)
+        kept = np.maximum(n[0], n[1]) > 1
+        said = np.flatnonzero((own[0] > 0) | (own[1] > 0) | np.isin(vocabulary, second[kept]))
+        spelled = self.spelling.log([(names[0].get(x) or names[1][x]) for x in vocabulary[said].tolist()])
+        p = [own[c][said] + self.left[c] * np.exp(spelled[c]) for c in (0, 1)]
+        self.words, self.of_word = vocabulary[said], np.log(p[1] / p[0]).astype(np.float32)
+        at, first = np.searchsorted(self.words, second[kept]), first[kept]
+        q = [np.maximum(n[c][kept] - 1, 0) / (total[c][first] + PRIOR) + free[first] * p[c][at] for c in (0, 1)]
+        self.pairs, self.of_pair = keys[kept], np.log(q[1] / q[0]).astype(np.float32)
+
+    def of(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ratio of each word of each of ``texts``, which are in lower case."""
+        each = [word_hashes(t) for t in texts]
+        hashes = np.concatenate([np.zeros(0, np.uint64), *each])
+        at, there = _places(hashes, self.words)
+        ratio = np.where(there, self.of_word[at], 0.0) if len(self.words) else np.zeros(len(hashes))
+        rest = np.flatnonzero(~there)
+        if len(rest):
+            _, first, place = np.unique(hashes[rest], return_index=True, return_inverse=True)
+            spoken = [w for t in texts for w in t.split()]
+            spelled = self.spelling.log([spoken[i] for i in rest[first].tolist()])
+            ratio[rest] = (spelled[1] - spelled[0] + np.log(self.left[1]) - np.log(self.left[0]))[place]
+        out, start = [], 0
+        for h in each:
+            own = ratio[start : start + len(h)]
+            start += len(h)
+            if len(h):
+                at, there = _places(_pairs(np.concatenate((np.zeros(1, np.uint64), h))), self.pairs)
+                own = np.where(there, self.of_pair[at], own) if len(self.pairs) else own
+            out.append(own)
+        return out
+
+
+def features(ratios: np.ndarray) -> list[float]:
+    """The text's ratio for each word, those of its worst passages, and the ratio of the text as a mixture."""
+    if not len(ratios):
+        return [0.0] * (len(PASSAGES) + 2)
+    sums = np.concatenate(([0.0], np.cumsum(ratios)))
+    spans = [min(k, len(ratios)) for k in PASSAGES]
+    worst = [float((sums[k:] - sums[:-k]).max()) / k for k in spans]
+    return [float(sums[-1]) / len(ratios), *worst, float(np.log1p(SHARE * np.expm1(np.minimum(ratios, 50.0))).sum())]
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Ratios count by their roots."""
+    return np.sign(x) * np.sqrt(np.abs(x))
+
+
+def weighed(ratios: Ratios, texts: list[bytes | None]) -> np.ndarray:
+    """A row of features for each text."""
+    rows, some, size = [], [], 0
+    for i, t in enumerate(texts):
+        some.append((t or b"").translate(LOWER))
+        size += len(some[-1])
+        if size >= BATCH_BYTES or i + 1 == len(texts):
+            rows += [features(r) for r in ratios.of(some)]
+            some, size = [], 0
+    return scaled(np.array(rows).reshape(len(rows), len(PASSAGES) + 2))
 
 
 def calibrate(x: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
@@ -178,46 +263,49 @@ def calibrate(x: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, float, np.n
     return w[:-1], float(w[-1]), mean, scale
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> dict:
+def sampled(docs: DataFrame, marks: DataFrame, rows: tuple[int, int], most_bytes: int) -> DataFrame:
+    """(doc_id, toxic, text) to learn from: by the hash of doc_id, as many rows and bytes as are allowed."""
+    chosen = [marks.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(k) for t, k in ((True, rows[0]), (False, rows[1]))]
+    chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # sum(rows) rows at most
+    texts = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes // 16).join(chosen, "doc_id")
+    texts = materialize(texts.groupBy("doc_id", "toxic").agg(F.min(F.col("text").cast("binary")).alias("text")), "sample")
+    # Both classes' bytes are added up in one order of at most sum(rows) rows, of lengths only.
+    order = W.partitionBy(F.lit(1)).orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    fits = texts.select("doc_id", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(order).alias("bytes")).where(F.col("bytes") <= most_bytes).select("doc_id")
+    return texts.join(F.broadcast(fits), "doc_id")
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> dict:
     """The model of ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), which are training rows only."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).select("doc_id", (F.col("toxic") > 0).alias("toxic"))
     n = {r.toxic: r.n for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = n.get(True, 0) / max(1, sum(n.values()))
-    chosen = [marks.where(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(k) for t, k in ((True, sample[0]), (False, sample[1]))]
-    chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # sum(sample) rows at most
-    rows = docs.join(chosen, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.col("text").cast("binary")).alias("text")).toArrow().sort_by("doc_id")
+    rows = sampled(docs, marks, sample, most_bytes).toArrow().sort_by("doc_id")
     toxic, texts = rows.column("toxic").to_pylist(), rows.column("text")
     fitting = [zlib.crc32(str(d).encode()) // 4 % CALIBRATE > 0 for d in rows.column("doc_id").to_pylist()]
     if any(len({t for t, f in zip(toxic, fitting, strict=True) if f == side}) < 2 for side in (True, False)):
         return {"share": share}
-    # Texts are split one at a time: their words as objects take many times the room of the texts.
-    words = lambda i: (texts[i].as_py() or b"").translate(LOWER).split()
     of = lambda side: [i for i, f in enumerate(fitting) if f == side]
-    model = train(map(words, of(True)), [toxic[i] for i in of(True)])
-    weigher = Weigher(model)
-    x = np.concatenate([weigher.features([words(i)]) for i in of(False)])
+    model = Ratios(((texts[i].as_py() or b"").translate(LOWER) for i in of(True)), [toxic[i] for i in of(True)])
+    x = np.concatenate([weighed(model, [texts[i].as_py()]) for i in of(False)])
     y = np.array([toxic[i] for i in of(False)], np.float64)
     w, offset, mean, scale = calibrate(x, y)
     odds = lambda p: np.log(p / (1 - p))
     return {"share": share, "model": model, "weights": w, "offset": offset + odds(share) - odds(y.mean()), "mean": mean, "scale": scale}
 
 
-_weighers: dict[str, Weigher] = {}
+def probabilities(fitted: dict, texts: list[bytes | None]) -> np.ndarray:
+    if "model" not in fitted:
+        return np.full(len(texts), fitted["share"])
+    x = (weighed(fitted["model"], texts) - fitted["mean"]) / fitted["scale"]
+    return 1 / (1 + np.exp(-np.clip(x @ fitted["weights"] + fitted["offset"], -500, 500)))
 
 
-def _scorer(sent, key: str):
+def _scorer(sent):
     def score(batches):
-        fitted = sent.value
-        if "model" in fitted and key not in _weighers:  # kept by the Python worker from task to task
-            _weighers.clear()
-            _weighers[key] = Weigher(fitted["model"])
         for batch in batches:
-            if "model" in fitted:
-                x = _weighers[key].features([(t or b"").translate(LOWER).split() for t in batch.column("text").to_pylist()])
-                p = 1 / (1 + np.exp(-np.clip((x - fitted["mean"]) / fitted["scale"] @ fitted["weights"] + fitted["offset"], -500, 500)))
-            else:
-                p = np.full(batch.num_rows, fitted["share"])
-            yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            p = probabilities(sent.value, batch.column("text").to_pylist())
+            yield pa.record_batch([batch.column("doc_id"), batch.column("held_out"), pa.array(p, pa.float64()), pa.array((p >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return score
 
@@ -225,20 +313,16 @@ def _scorer(sent, key: str):
 def scores(docs: DataFrame, fitted: dict, modulus: int = 4, held: int = 2) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs`` (doc_id, text)."""
     spark = tuned(docs.sparkSession)
-    sent = spark.sparkContext.broadcast(fitted)
+    sent = spark.sparkContext.broadcast(fitted)  # bounded by the sample
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold("doc_id", modulus) == held).alias("held_out"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(_scorer(sent, f"{spark.sparkContext.applicationId}-{sent._jbroadcast.id()}"), RESULT)
-
+    return rows.mapInArrow(_scorer(sent), RESULT)
 
-def _acceptor(sent, key: str):
-    score = _scorer(sent, key)
 
+def _acceptor(sent):
     def accept(batches):
         for batch in batches:
-            text = batch.column("text").cast(pa.binary())
-            none = pa.nulls(batch.num_rows)
-            (scored,) = score([pa.record_batch([none, none, text], ["doc_id", "held_out", "text"])])
-            yield batch.filter(pc.less(scored.column("score"), THRESHOLD))
+            p = probabilities(sent.value, batch.column("text").cast(pa.binary()).to_pylist())
+            yield batch.filter(pc.less(pa.array(p, pa.float64()), THRESHOLD))
 
     return accept
 
@@ -246,8 +330,7 @@ def _acceptor(sent, key: str):
 def accepted(docs: DataFrame, fitted: dict) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text is not called toxic."""
     spark = tuned(docs.sparkSession)
-    sent = spark.sparkContext.broadcast(fitted)
-    return docs.mapInArrow(_acceptor(sent, f"{spark.sparkContext.applicationId}-{sent._jbroadcast.id()}"), docs.schema)
+    return docs.mapInArrow(_acceptor(spark.sparkContext.broadcast(fitted)), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, sample: tuple[int, int] = SAMPLE) -> DataFrame:
