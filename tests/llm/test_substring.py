@@ -68,14 +68,83 @@ def test_long_words_and_segments():
     assert len(set(whole.tolist())) == len(set(text.split()))
 
 
+def pairs(spark, rows):
+    return spark.createDataFrame(rows, "print long, doc_id long")
+
+
+def rows_of(frame):
+    return sorted(tuple(r) for r in frame.collect())
+
+
 def test_index_over_batches(spark):
     index = substring.FingerprintIndex(spark, fan=2)
-    frame = lambda rows: spark.createDataFrame(rows, "print long, doc_id long")
-    assert index.ingest(frame([(1, 10), (2, 10), (3, 11), (3, 12)])).collect() == [(3,)]
-    assert sorted(r[0] for r in index.ingest(frame([(1, 5), (4, 20)])).collect()) == [1]
-    assert sorted(r[0] for r in index.ingest(frame([(4, 30), (5, 30)])).collect()) == [4]
-    assert len(index.runs) == 1
-    assert sorted(tuple(r) for r in index.history().collect()) == [(1, 5), (2, 10), (3, 11), (4, 20), (5, 30)]
+    assert rows_of(index.ingest(pairs(spark, [(1, 10), (2, 10), (3, 11), (3, 12)]))) == [(3, 11), (3, 12)]
+    assert rows_of(index.ingest(pairs(spark, [(1, 5), (4, 20), (2, 10)]))) == [(1, 5), (1, 10)]
+    assert index.runs == ["run-000000", "run-000001"]
+    assert rows_of(index.ingest(pairs(spark, [(4, 30), (5, 30), (1, 40), (3, 9)]))) == [(1, 40), (3, 9), (4, 20), (4, 30)]
+    assert index.runs == ["run-000003"]  # three runs have become one
+    assert rows_of(index.history()) == [(1, 5, True), (2, 10, False), (3, 9, True), (4, 20, True), (5, 30, False)]
+    index.vacuum()
+    assert rows_of(index.history().select("print")) == [(1,), (2,), (3,), (4,), (5,)]
+    assert rows_of(index.ingest(pairs(spark, [(5, 31), (5, 32)]))) == [(5, 30), (5, 31), (5, 32)]
+
+
+def test_index_is_opened_again(spark):
+    first = substring.FingerprintIndex(spark)
+    first.ingest(pairs(spark, [(1, 10), (2, 10)]))
+    spark.conf.set("spark.sql.shuffle.partitions", "5")  # another session may have its own number
+    try:
+        again = substring.FingerprintIndex(spark, first.path)
+        assert (again.buckets, again.runs, again.version) == (first.buckets, first.runs, first.version) == (8, ["run-000000"], 1)
+        assert rows_of(again.ingest(pairs(spark, [(2, 11), (3, 11)]))) == [(2, 10), (2, 11)]
+        assert substring.FingerprintIndex(spark, first.path).runs == ["run-000000", "run-000001"]
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "5"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tracewright_")]
+
+
+def test_runs_are_joined_as_they_lie(spark):
+    """Neither a shuffle nor a sort stands above a run in a merge join, and none above runs that are merged but that of the batch."""
+    index = substring.FingerprintIndex(spark, fan=5)
+    for k in range(2):
+        index.ingest(pairs(spark, [(i, k) for i in range(100)]))
+    with index._settings():
+        own = pairs(spark, [(1, 2)]).groupBy("print").agg({"doc_id": "min"})
+        plan = own.join(index.run(index.runs[0]).hint("merge"), "print", "left")._jdf.queryExecution().executedPlan().toString()
+        merged = index.history()._jdf.queryExecution().executedPlan().toString()
+    right = plan[plan.index("SortMergeJoin") :].split("FileScan")[0].splitlines()
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+    assert not any("Sort " in x or "Exchange" in x for x in right[-3:])
+    assert "Exchange" not in merged
+
+
+def test_what_is_removed_is_compared_word_by_word():
+    words = [b"w%d" % i for i in range(120)]
+    blocks = lambda x: {(7, k): [x[k * 64 : (k + 1) * 64]] for k in range(2)}
+    whole = [(0, 71, 7, 0)]  # as if all windows had the hash of the source's
+    assert substring.covered(words, whole, blocks(words)).all()
+    other = [*words[:60], b"x", *words[61:]]
+    assert substring.covered(words, whole, blocks(other)).tolist() == [True] * 60 + [False] + [True] * 59
+    assert not substring.covered(words, whole, blocks(words[1:])).any()
+    assert not substring.covered(words, whole, {}).any()
+    assert substring.covered(words, whole, {(7, 0): [other[:64], words[:64]], (7, 1): [words[64:]]}).all()
+
+
+def test_one_doc_id_with_several_texts(spark):
+    passage = " ".join(f"p{i}" for i in range(70))
+    rows = [(2, f"a {passage} b", "", 0), (2, f"{passage} c", "", 0), (1, f"x y {passage}", "", 0), (3, f"{passage} d", "", 0), (2, "short", "", 0)]
+    assert result(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
+
+
+def test_incremental_batches_against_one(spark):
+    """An index that stays: what a later batch shares with an earlier one is found without the earlier one's rows."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(9)}" if rng.random() < 0.2 else f"p{i}" for i in range(rng.randint(40, 120))) for _ in range(40)]
+    rows = [(i, t, "", 0) for i, t in enumerate(texts)]
+    index = substring.FingerprintIndex(spark)
+    assert result(spark.createDataFrame(rows, SCHEMA), index=index, batches=5) == brute(rows)
+    assert len(index.runs) <= index.fan and index.history().count() > 0
 
 
 def test_repeated_rows_that_lose_a_part(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -27,6 +28,34 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]):
+    """Settings for what runs inside; the session has its own back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    """A path as the cluster's file systems know it: (file system, path)."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    files, found = hadoop_path(spark, path)
+    files.delete(found, True)
+
+
+#: The temporary folder of each local application that has no shared one.
+_local_roots: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a full URI.
 
@@ -37,11 +66,12 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='tracewright-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return str(fs.makeQualified(path).toString()).rstrip("/")
+        app = spark.sparkContext.applicationId
+        if app not in _local_roots:
+            _local_roots[app] = f"file://{tempfile.mkdtemp(prefix='tracewright-')}"
+        root = _local_roots[app]
+    files, path = hadoop_path(spark, root)
+    return str(files.makeQualified(path).toString()).rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
