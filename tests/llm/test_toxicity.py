@@ -117,7 +117,7 @@ def small_prior():
 def test_ratios_from_the_definitions(small_prior):
     texts = ["the cat sat on the mat", "the dog sat", "you idiot the cat", "idiots the dog idiot", "a a a catalogue", "shut up you", "do shut up the cat", "please shut up idiot", "shut the dog", "up the cat sat idiot"]
     toxic = [False, False, True, True, False, True, True, True, False, False]
-    model, slow = toxicity.Ratios(map(low, texts), toxic), Slow([low(t).split() for t in texts], toxic)
+    model, slow = toxicity.Ratios([low(t) for t in texts], toxic), Slow([low(t).split() for t in texts], toxic)
     assert len(model.pairs) >= 2
     for text in (*texts, "idiotic zebra dogs é a shut up", "Shut UP shut up the mat", "up shut"):
         words = low(text).split()
@@ -128,7 +128,7 @@ def test_ratios_from_the_definitions(small_prior):
 def test_an_expression_of_two_words_weighs_more_than_its_words(small_prior):
     toxic = [f"x{i} get lost y{i}" for i in range(30)] + [f"{i} lost" for i in range(3)]
     plain = [f"get x{i} y{i}" for i in range(20)] + [f"x{i} y{i} lost z{i}" for i in range(30)] + [f"q{i} get home" for i in range(20)]
-    model = toxicity.Ratios(map(low, toxic + plain), [True] * len(toxic) + [False] * len(plain))
+    model = toxicity.Ratios([low(t) for t in toxic + plain], [True] * len(toxic) + [False] * len(plain))
     ratio = lambda t: model.of([low(t)])[0].sum()
     assert ratio("get lost") > ratio("lost get") + 0.5
 

@@ -29,7 +29,6 @@ scored alike. An empty table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +48,8 @@ PRIOR = 1000
 CALIBRATE = 5
 #: Bytes of texts that are looked up together.
 BATCH_BYTES = 1 << 19
+#: Parts in which pairs are counted, one after the other.
+SHARDS = 8
 #: Multiplier that tells the first word of a pair from the second: a fixed value.
 FIRST = np.uint64(0x9E3779B97F4A7C15)
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
@@ -98,7 +99,7 @@ def _shared(runs: np.ndarray, counts: np.ndarray) -> np.ndarray:
     for k in range(ORDER, 0, -1):
         levels.append(own)
         shorter = own[0] & np.uint64((1 << 8 * (k - 1)) - 1)
-        own = _summed(shorter, np.ones(len(shorter)))  # how many different bytes come before
+        own = _summed(shorter, np.ones(len(shorter), np.float32))  # how many different bytes come before
     below, p = np.zeros(1, np.uint64), np.full(1, 1 / 256)
     for k, (keys, n) in zip(range(1, ORDER + 1), levels[::-1], strict=True):
         d = _discount(n)
@@ -112,12 +113,12 @@ def _shared(runs: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class Spelling:
     """Both classes' models of how words are spelled, learnt from the distinct words of each class."""
 
-    def __init__(self, words: tuple[list[bytes], list[bytes]]):
+    def __init__(self, words: list[list[bytes]]):
         sides = []
         for names in words:
             found = (np.zeros(0, np.uint64), np.zeros(0))
-            for at in range(0, len(names), 50_000):
-                keys = _spellings(names[at : at + 50_000])[0]
+            for at in range(0, len(names), 10_000):
+                keys = _spellings(names[at : at + 10_000])[0]
                 found = _summed(np.concatenate((found[0], keys)), np.concatenate((found[1], np.ones(len(keys)))))
             sides.append(found)
         self.runs, counts = _summed(np.concatenate([s[0] for s in sides]), np.concatenate([s[1] for s in sides]))
@@ -135,8 +136,8 @@ class Spelling:
     def log(self, words: list[bytes]) -> np.ndarray:
         """The log-likelihood of each word's spelling in the ordinary and the toxic model; a run that neither has seen is one byte of 256."""
         out = np.zeros((2, len(words)))
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
+        for at in range(0, len(words), 10_000):
+            some = words[at : at + 10_000]
             runs, starts = _spellings(some)
             place, hit = _places(runs, self.runs)
             context, met = _places(runs >> np.uint64(8), self.contexts)
@@ -146,6 +147,47 @@ class Spelling:
         return out
 
 
+def _picked(texts: list[bytes], hashes: list[np.ndarray], places: np.ndarray) -> list[bytes]:
+    """The words at ``places`` among all words of the texts."""
+    out: list[bytes] = [b""] * len(places)
+    order = np.argsort(places)
+    bounds = np.searchsorted(places[order], np.cumsum([0, *map(len, hashes)]))
+    start = 0
+    for text, h, lo, hi in zip(texts, hashes, bounds, bounds[1:], strict=False):
+        if hi > lo:
+            words = text.split()
+            for k in order[lo:hi].tolist():
+                out[k] = words[places[k] - start]
+        start += len(h)
+    return out
+
+
+def _seen(texts: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """What a class has seen, from the hashes of its texts' words. Each pair counts by the different words before it.
+
+    words: after how many different words each came; firsts: the total of each word's pairs, and their kinds; pairs: those that count more than once.
+    """
+    # A text starts after two empty words, so its first word and pair have a word before them, too.
+    texts = [np.concatenate((np.zeros(2, np.uint64), h)) for h in texts]
+    u, v, w = (np.concatenate([np.zeros(0, np.uint64), *(h[i : len(h) - 2 + i] for h in texts)]) for i in range(3))
+    del texts
+    pair = _mixed(v * FIRST + w)
+    found = []
+    for k in range(SHARDS):  # a pair is in one shard
+        at = np.flatnonzero(pair % np.uint64(SHARDS) == k)
+        at = at[np.unique(_mixed(u[at] * FIRST + pair[at]), return_index=True)[1]]
+        keys, first, n = np.unique(pair[at], return_index=True, return_counts=True)
+        found.append((keys, n.astype(np.float32), v[at[first]], w[at[first]]))
+    del u, v, w, pair
+    pairs, n, first, second = (np.concatenate(x) for x in zip(*found, strict=True))
+    words, after = np.unique(second, return_counts=True)
+    firsts, place = np.unique(first, return_inverse=True)
+    total, kinds = np.bincount(place, weights=n, minlength=len(firsts)), np.bincount(place, minlength=len(firsts))
+    often = np.flatnonzero(n > 1)
+    often = often[np.argsort(pairs[often])]
+    return {"words": words, "after": after.astype(np.float64), "firsts": firsts, "total": total, "kinds": kinds.astype(np.float64), "pairs": pairs[often], "n": n[often].astype(np.float64), "first": first[often], "second": second[often]}
+
+
 def _pairs(hashes: np.ndarray) -> np.ndarray:
     """A key for each word with the one before it, from the second word on."""
     return _mixed(hashes[:-1] * FIRST + hashes[1:])
@@ -154,50 +196,38 @@ def _pairs(hashes: np.ndarray) -> np.ndarray:
 class Ratios:
     """The two classes' models, as the ratios of words and pairs that differ from what the spelling says."""
 
-    def __init__(self, texts: Iterable[bytes], toxic: Iterable[bool]):
-        """``texts`` in lower case."""
-        hashes: tuple[list, list] = ([], [])
-        names: tuple[dict, dict] = ({}, {})
-        for text, t in zip(texts, toxic, strict=True):
-            words, h = text.split(), word_hashes(text)
-            # A text starts after two empty words, so its first word and pair have a word before them, too.
-            hashes[bool(t)].append(np.concatenate((np.zeros(2, np.uint64), h)))
-            some, at = np.unique(h, return_index=True)
-            names[bool(t)].update(zip(some.tolist(), map(words.__getitem__, at.tolist()), strict=True))
-        self.spelling = Spelling((list(names[0].values()), list(names[1].values())))
-        vocabulary = np.array(sorted(names[0].keys() | names[1].keys()), np.uint64)
-        firsts = np.unique(np.concatenate((vocabulary, np.zeros(1, np.uint64))))
-        pairs, of_pair = [], []
-        for side in hashes:
-            u, v, w = (np.concatenate([np.zeros(0, np.uint64), *(h[i : len(h) - 2 + i] for h in side)]) for i in range(3))
-            own = _mixed(v * FIRST + w)
-            at = np.unique(_mixed(u * FIRST + own), return_index=True)[1]
-            keys, first, n = np.unique(own[at], return_index=True, return_counts=True)
-            pairs.append((keys, n.astype(np.float64)))
-            of_pair.append((v[at][first], w[at][first]))
-        # Continuation counts, discounted by one; the rest of the mass is spelled.
+    def __init__(self, texts: list[bytes], toxic: list[bool]):
+        """``texts`` in lower case. Hashes stand for words, but for the distinct words of a class, whose spelling is learnt."""
+        known, spoken, seen = [], [], []
+        for c in (False, True):
+            side = [t for t, x in zip(texts, toxic, strict=True) if bool(x) == c]
+            hashes = [word_hashes(t) for t in side]
+            some, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_index=True)
+            known.append(some)
+            spoken.append(_picked(side, hashes, at))
+            seen.append(_seen(hashes))
+        self.spelling = Spelling(spoken)
+        vocabulary = np.union1d(*known)
+        # Words by continuation counts, discounted by one; the rest of the mass is spelled.
         self.left, own = [], []
-        for _, w in of_pair:
-            found, k = np.unique(w, return_counts=True)
-            k = _of(vocabulary, found, k.astype(np.float64), 0.0)
-            total = max(1.0, k.sum())
-            own.append(np.maximum(k - 1, 0) / total)
-            self.left.append(max(1.0, float((k > 0).sum())) / total)
-        # Pairs that a class has seen after more than one word.
-        keys, place = np.unique(np.concatenate([x[0] for x in pairs]), return_index=True)
-        n = [_of(keys, *x, 0.0) for x in pairs]
-        first, second = (np.concatenate([x[i] for x in of_pair])[place] for i in (0, 1))
-        first = np.searchsorted(firsts, first)
-        total = [np.bincount(first, weights=x, minlength=len(firsts)) for x in n]
-        free = (sum(np.bincount(first, weights=np.minimum(x, 1), minlength=len(firsts)) for x in n) + 2 * PRIOR) / (total[0] + total[1] + 2 * PRIOR)
-        kept = np.maximum(n[0], n[1]) > 1
-        said = np.flatnonzero((own[0] > 0) | (own[1] > 0) | np.isin(vocabulary, second[kept]))
-        spelled = self.spelling.log([(names[0].get(x) or names[1][x]) for x in vocabulary[said].tolist()])
+        for x in seen:
+            total = max(1.0, float(x["after"].sum()))
+            own.append(np.maximum(_of(vocabulary, x["words"], x["after"], 0.0) - 1, 0) / total)
+            self.left.append(max(1.0, float(len(x["words"]))) / total)
+        said = np.flatnonzero((own[0] > 0) | (own[1] > 0) | np.isin(vocabulary, np.concatenate([x["second"] for x in seen])))
+        at, there = _places(vocabulary[said], known[0])
+        other = _places(vocabulary[said], known[1])[0]
+        spelled = self.spelling.log([spoken[0][i] if t else spoken[1][j] for i, t, j in zip(at.tolist(), there.tolist(), other.tolist(), strict=True)])
         p = [own[c][said] + self.left[c] * np.exp(spelled[c]) for c in (0, 1)]
         self.words, self.of_word = vocabulary[said], np.log(p[1] / p[0]).astype(np.float32)
-        at, first = np.searchsorted(self.words, second[kept]), first[kept]
-        q = [np.maximum(n[c][kept] - 1, 0) / (total[c][first] + PRIOR) + free[first] * p[c][at] for c in (0, 1)]
-        self.pairs, self.of_pair = keys[kept], np.log(q[1] / q[0]).astype(np.float32)
+        # Pairs that a class has seen after more than one word.
+        self.pairs, place = np.unique(np.concatenate([x["pairs"] for x in seen]), return_index=True)
+        first, second = (np.concatenate([x[k] for x in seen])[place] for k in ("first", "second"))
+        at = np.searchsorted(self.words, second)
+        total = [_of(first, x["firsts"], x["total"], 0.0) for x in seen]
+        free = (sum(_of(first, x["firsts"], x["kinds"], 0.0) for x in seen) + 2 * PRIOR) / (total[0] + total[1] + 2 * PRIOR)
+        q = [np.maximum(_of(self.pairs, x["pairs"], x["n"], 0.0) - 1, 0) / (total[c] + PRIOR) + free * p[c][at] for c, x in enumerate(seen)]
+        self.of_pair = np.log(q[1] / q[0]).astype(np.float32)
 
     def of(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ratio of each word of each of ``texts``, which are in lower case."""
@@ -286,7 +316,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, mo
     if any(len({t for t, f in zip(toxic, fitting, strict=True) if f == side}) < 2 for side in (True, False)):
         return {"share": share}
     of = lambda side: [i for i, f in enumerate(fitting) if f == side]
-    model = Ratios(((texts[i].as_py() or b"").translate(LOWER) for i in of(True)), [toxic[i] for i in of(True)])
+    model = Ratios([(texts[i].as_py() or b"").translate(LOWER) for i in of(True)], [toxic[i] for i in of(True)])
     x = np.concatenate([weighed(model, [texts[i].as_py()]) for i in of(False)])
     y = np.array([toxic[i] for i in of(False)], np.float64)
     w, offset, mean, scale = calibrate(x, y)
