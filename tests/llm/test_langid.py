@@ -16,7 +16,7 @@ def slow_vector(text):
             symbols.append(s)
     if symbols[-1]:
         symbols.append(0)
-    base = langid._letters()[2].astype(int)
+    base = {s: langid._letters(np.array([s]))[0].astype(int) for s in set(symbols)}
     out = np.zeros(langid.DIM)
     for a, b, c in zip(symbols, symbols[1:], symbols[2:], strict=False):
         out += np.roll(base[a], 2) * np.roll(base[b], 1) * base[c]
@@ -59,6 +59,23 @@ def test_edge_cases(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_no_two_letters_share_a_vector():
+    points = np.unique(langid._alphabet())[::40]
+    assert len(np.unique(langid._letters(points), axis=0)) == len(points)
+    vectors = langid._letters(points[:500]).astype(int)
+    near = np.abs(vectors @ vectors.T - langid.DIM * np.eye(500, dtype=int)) / langid.DIM
+    assert near.max() < 0.25 and near.mean() < 0.05
+
+
+def test_more_languages_than_are_compared_at_once(spark, monkeypatch):
+    rows = rows_of()
+    whole = sorted(map(tuple, langid.language_ids(spark.createDataFrame(rows, SCHEMA)).collect()))
+    monkeypatch.setattr(langid, "LANGS", 2)
+    blocks = sorted(map(tuple, langid.language_ids(spark.createDataFrame(rows, SCHEMA)).collect()))
+    assert [r[:3] for r in blocks] == [r[:3] for r in whole]
+    assert all(abs(a[3] - b[3]) < 1e-6 for a, b in zip(blocks, whole, strict=True))
+
+
 def test_nothing_to_learn(spark):
     frame = spark.createDataFrame([(1, "text", None, "", 0)], SCHEMA)
     assert [(r.lang_pred, r.score) for r in langid.language_ids(frame).collect()] == [("und", 0.0)]

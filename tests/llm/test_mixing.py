@@ -12,7 +12,7 @@ SCHEMA = "doc_id long, text string, source string, name string, block int, h str
 def brute(rows, weights=None, block_chars=1 << 16, resolution=1000):
     by = defaultdict(list)
     for d, t, s, *_ in rows:
-        by[s].append((hashlib.md5(("" if d is None else str(d)).encode()).hexdigest(), d is not None, d, len(t or ""), s))
+        by[s].append((hashlib.md5((("" if d is None else str(d)) + "|" + hashlib.md5((t or "").encode()).hexdigest()).encode()).hexdigest(), d is not None, d, len(t or ""), s))
     order = sorted(by, key=lambda s: "n" if s is None else "s" + s)
     chars = {s: sum(x[3] for x in by[s]) for s in by}
     r = {s: math.isqrt(chars[s]) if weights is None else int(weights.get(s, 0) * 10**9 / sum(weights.values())) for s in by}

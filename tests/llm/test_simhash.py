@@ -75,6 +75,15 @@ def test_repeated_rows_and_empty_table(spark):
     assert simhash.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_rows_that_share_a_doc_id(spark):
+    """Different texts under one doc_id, or none, are judged each for itself, and the result is the same in every run."""
+    a, b, c = ("one two three four five", "a wholly different text it is", "and here a third one")
+    rows = [(5, a, "x", 1), (5, b, "x", 1), (5, b, "y", 2), (6, b, "x", 1), (None, c, "x", 1), (None, c, "z", 1), (None, "and a fourth text of its own", "x", 1), (7, a.upper(), "x", 1)]
+    kept = [sorted(map(str, simhash.keep_one(spark.createDataFrame(rows[k:] + rows[:k], SCHEMA)).collect())) for k in (0, 3)]
+    assert kept[0] == kept[1]
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()) == sorted([(5, a), (5, b), (0, c), (0, "and a fourth text of its own")])
+
+
 def test_links_of_one_large_bucket(spark):
     """All fingerprints within two bits of one value meet in one component."""
     prints = [0] + [1 << i for i in range(63)] + [(1 << i) | (1 << j) for i in range(0, 60, 7) for j in range(i + 1, 62, 11)]

@@ -39,6 +39,19 @@ def test_round_trip_and_lookup(spark, monkeypatch):
     assert sstable.lookup(shards, 123_456_789) == []
 
 
+def test_lookup_opens_the_shards_that_span_a_key(spark, monkeypatch):
+    parts = [[(d, f"word {d}", "s", 1) for d in range(k * 100, k * 100 + 100, 2)] + [(k * 100, "again", "s", 1)] * 3 for k in range(5)]
+    shards = [x for rows in parts for x in sstable.write_shards(spark.createDataFrame(rows, SCHEMA).coalesce(1), PATH, 2)]
+    assert len(shards) >= 5
+    opened, real = [], sstable.Shard
+    monkeypatch.setattr(sstable, "Shard", lambda uri: opened.append(uri) or real(uri))
+    assert len(sstable.lookup(shards, 100)) == 4 and len(sstable.lookup(shards, 498)) == 1
+    assert len(opened) == len(set(opened)) <= 4
+    opened.clear()
+    assert sstable.lookup(shards, 10_000) == [] and not opened
+    assert len(sstable.lookup(shards[::-1], 100)) == 4 and len(sstable.lookup(shards[::-1], 0)) == 4
+
+
 def test_driver_table_against_whole_texts(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     _, want = expected([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])

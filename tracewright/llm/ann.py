@@ -12,8 +12,9 @@ hold enough rows for a full result.
 Leaves are searched in blocks: entries and queries of a leaf are dealt to as many salts as keep a block at BLOCK rows a side, so a
 leaf that holds a large part of the data is shared by many tasks. Cosines are in double precision on the original vectors.
 
-Cases: vectors that are null, empty, zero or have null or non-finite components, and rows without vec_id, take no part. If lengths
-differ, those of the most frequent length (the smaller, if equal) take part. Rows with the same vec_id are never each other's neighbours. With fewer
+Cases: vectors that are null, empty, zero or have null or non-finite components, and rows without vec_id, take no part. Vectors of different
+lengths have no cosine; each length is indexed by itself. Rows with the same vec_id are never each other's neighbours; a query_id with
+several vectors gets the best over all of them. Vectors of any length are compared whole. With fewer
 candidates than wanted all are returned. Ties go to the smaller vec_id. Repeated rows count once. An empty table gives an empty result.
 Other columns are ignored.
 """
@@ -36,6 +37,7 @@ CALIBRATE, TARGET, BLOCK = 100, 0.98, 2048
 
 def _units(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
+    x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True, initial=0), 5e-324)  # else squares of very large and small numbers overflow or vanish
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
@@ -108,9 +110,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding) of the rows that take part."""
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", odd) & F.exists("embedding", lambda x: x != 0))
-    length = rows.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").first()
-    return rows.where(F.size("embedding") == (length.n if length else 0))
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", odd) & F.exists("embedding", lambda x: x != 0))
 
 
 def _assign(sent):
@@ -186,11 +186,11 @@ def _compare(sent, wanted: int):
 
 
 class Index:
-    """All usable rows of (vec_id, embedding), under the leaves of a tree."""
+    """All rows of (vec_id, embedding), which are usable and of one length, under the leaves of a tree."""
 
     def __init__(self, vectors: DataFrame, k: int = 5, fit: int = FIT):
         self.spark, self.k, self.wanted = tuned(vectors.sparkSession), k, k + 1
-        self.rows = materialize(usable(vectors), "vectors")
+        self.rows = vectors
         first = W.partitionBy("embedding").orderBy("vec_id")
         ranked = self.rows.distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= self.wanted)
         entries = ranked.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("rid", F.monotonically_increasing_id())
@@ -223,12 +223,12 @@ class Index:
         needed = []
         for rid, near in self.truth(some).items():
             place = {leaf: i + 1 for i, leaf in enumerate(self.tree.visits(units[rid]))}
-            needed += [place[leaf] for _, _, leaf in near]
+            needed += [place[leaf] for _, _, leaf in near[1:]]  # the nearest is the query itself, which its own leaf has
         needed.sort()
         return needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)] if needed else 1
 
     def search(self, queries: DataFrame, visits: int | None = None) -> DataFrame:
-        """(query_id, rank, vec_id, score) for ``queries`` (query_id, embedding), whose vectors are among the index's."""
+        """(query_id, vec_id, score), k rows for each of ``queries`` (query_id, embedding), whose vectors are among the index's."""
         asked = materialize(queries.join(self.entries.select("rid", "embedding"), "embedding").select("query_id", "rid", "embedding"), "asked")
         distinct = asked.dropDuplicates(["rid"]).select("rid", "embedding")
         self.visits = visits or self.calibrate(distinct)
@@ -243,16 +243,21 @@ class Index:
         order = W.partitionBy("rid").orderBy(F.desc("score"), "vec_id")
         best = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= self.wanted).groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("n", "vec_id", "score"))).alias("best"))
         others = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, self.k)
-        out = asked.select("query_id", "rid").join(best, "rid").select("query_id", F.posexplode(others).alias("at", "x"))
-        return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
+        return asked.select("query_id", "rid").join(best, "rid").select("query_id", F.explode(others).alias("x")).select("query_id", "x.vec_id", "x.score")
 
 
 def neighbours(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """The ``k`` nearest other rows of each row whose vec_id is divisible by ``every``."""
-    index = Index(vectors, k)
-    if index.tree is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return index.search(index.rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding").distinct())
+    spark = vectors.sparkSession
+    rows = materialize(usable(vectors), "vectors")
+    found = spark.createDataFrame([], "query_id long, vec_id long, score double")
+    lengths = sorted(r.n for r in rows.select(F.size("embedding").alias("n")).distinct().collect())  # of an embedding there is one
+    for n in lengths:
+        index = Index(rows.where(F.size("embedding") == n) if len(lengths) > 1 else rows, k)
+        found = found.unionByName(index.search(index.rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding").distinct()))
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_kmeans_tree_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ Words are told apart by 64-bit hashes. The base score is that of the unigram mod
 
 Cases: null and empty texts have the end token only. Repeated rows are scored alike and count as often as they come. Without
 training texts every decision is 1/2. A null doc_id hashes as the empty text, so it is held out. An empty table gives an empty result. Other
-columns are ignored. A text longer than a chunk is a chunk of its own.
+columns are ignored. A text of any length is scored whole, in one chunk, and makes that chunk longer.
 """
 
 from __future__ import annotations
@@ -307,7 +307,7 @@ def _answer(depth: int, top: np.ndarray):
         of_key[order] = values[place]
         payloads, at = [], 0
         for k in each:
-            payloads.append(_framed(len(k), _pack(of_key[at : at + len(k)] if kind == "w" else of_key[at : at + len(k)].astype(np.float32))))
+            payloads.append(_framed(len(k), _pack(of_key[at : at + len(k)])))
             at += len(k)
         n, v = (int(total.sum()), int((total > 0).sum())) if kind == "w" else (0, 0)
         m = len(chunks)
@@ -321,7 +321,7 @@ def _lookup(keys: np.ndarray, values: np.ndarray):
     bits = max(16, int(len(keys)).bit_length() + 4)
     slot = lambda k: ((k * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int64)
     slots = slot(keys)
-    cells = np.zeros(1 << bits, np.float32)
+    cells = np.zeros(1 << bits)
     cells[slots] = values
     taken, n = np.unique(slots, return_counts=True)
     cells[taken[n > 1]] = np.nan
@@ -352,8 +352,8 @@ def _score(depth: int, buckets: int):
         found = grams(texts, depth)
         keys = np.unique(found)
         keys = keys[_in_buckets(keys, _bucket_of_grams(keys, depth, buckets), buckets)[0]]
-        values = _lookup(keys, join("g", np.float32))(found)
-        sums = np.add.reduceat(values.astype(np.float64), np.concatenate(([0], np.cumsum([len(t) for t in texts])[:-1])))
+        values = _lookup(keys, join("g", np.float64))(found)
+        sums = np.add.reduceat(values, np.concatenate(([0], np.cumsum([len(t) for t in texts])[:-1])))
         scale = math.log10(total + 0.1 * (distinct + 1))
         rows = []
         for w, own, out in zip(words, sums.tolist(), held, strict=True):

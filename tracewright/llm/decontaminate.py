@@ -8,12 +8,12 @@ hashes, where k is set by its partition such that a document with CONTAINMENT of
 short for short items, and the search loses no pair. A document's shingle hashes are looked up in the sketches, whole texts however long
 they are. Pairs that meet are verified by counting the item's shingles, as text, in the document.
 
-All of it is DataFrame operations. The table of sketches and that of the items' shingles are broadcast up to BROADCAST_ROWS rows, which is
-counted first; larger ones are joined by shuffles.
+All of it is DataFrame operations. The table of sketches and that of the items' shingles are broadcast up to BROADCAST_BYTES, which are
+measured first; larger ones are joined by shuffles, with the same result.
 
 Cases: null and empty texts, and those without letters and digits, neither contaminate nor are contaminated. Documents shorter than an item's
-shingles cannot contain it. Rows with the same doc_id count as one document, rows with the same item_id as one item. Rows without doc_id are kept by
-``clean`` and not reported. Empty tables give an empty result. Other columns are ignored.
+shingles cannot contain it. Texts of any length are read whole. Rows with the same doc_id count as one document, rows with the same item_id as one item. Rows without doc_id are not reported, but ``clean``
+judges them like all others. Empty tables give an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import materialize, table
 
 SHINGLE, CONTAINMENT = 5, 0.8
-BROADCAST_ROWS = 1_000_000
+#: Bytes of values; a table of this size takes some 100 MB as a hash table.
+BROADCAST_BYTES = 32 << 20
 
 
 def words(text: str) -> Column:
@@ -46,8 +47,10 @@ def _shingles(w: str, k: int) -> Column:
 
 
 def _checked(df: DataFrame) -> DataFrame:
-    """``df`` as the side of a join: broadcast if it has BROADCAST_ROWS rows at most."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """``df`` as the side of a join: broadcast if its values have BROADCAST_BYTES at most."""
+    sizes = [F.coalesce(F.octet_length(F.col(f.name).cast("binary") if f.dataType.typeName() in ("string", "binary") else F.lit("12345678")), F.lit(0)) for f in df.schema]
+    size = df.agg(F.sum(sum(sizes[1:], sizes[0])).alias("bytes")).first().bytes or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def sketches(items: DataFrame, containment: float = CONTAINMENT) -> tuple[DataFrame, DataFrame, list[int]]:
@@ -78,18 +81,21 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAIN
     prints = [_hashes("h", k) for k in lengths]
     looked_up = hashed.select("doc_id", F.explode(prints[0] if len(prints) == 1 else F.concat(*prints) if prints else F.array().cast("array<bigint>")).alias("print"))
     candidates = materialize(looked_up.join(_checked(found.select("print", "item_id")), "print").groupBy("doc_id").agg(F.collect_set("item_id").alias("items")), "candidates")
-    texts = tokens.join(candidates.select("doc_id"), "doc_id")
+    texts = tokens.join(candidates, "doc_id")
     runs = [_shingles("w", k) for k in lengths]
-    each = texts.select("doc_id", F.explode(F.array_distinct(F.concat(*runs) if runs else F.array().cast("array<string>"))).alias("shingle"))
-    met = each.join(_checked(shingles), "shingle").groupBy("doc_id", "item_id", "n_item", "needed").agg(F.countDistinct("shingle").alias("n_shared")).where("n_shared >= needed")
-    verified = met.join(candidates.select("doc_id", F.explode("items").alias("item_id")), ["doc_id", "item_id"], "left_semi")
-    return verified.select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
+    each = texts.select("doc_id", "items", F.explode(F.array_distinct(F.concat(*runs) if runs else F.array().cast("array<string>"))).alias("shingle"))
+    # Only the items that a document's sketch has found are counted in it.
+    wanted = _checked(shingles.withColumnRenamed("shingle", "of_item"))
+    met = each.join(wanted, (F.col("shingle") == F.col("of_item")) & F.array_contains("items", F.col("item_id"))).groupBy("doc_id", "item_id", "n_item", "needed").agg(F.countDistinct("shingle").alias("n_shared"))
+    return met.where("n_shared >= needed").select("doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment"))
 
 
 def clean(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """``docs`` without the contaminated documents."""
-    found = materialize(contaminated(docs, items, containment).select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the contaminated documents. Each row is judged by its own text, whether it has a doc_id or shares it."""
+    own = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.hex(F.xxhash64(F.col("text"))), F.lit("")))
+    found = materialize(contaminated(docs.select(own.alias("doc_id"), "text"), items, containment).select("doc_id").distinct(), "contaminated")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), own.alias("doc_id"))
+    return rows.join(found, "doc_id", "left_anti").select("row.*")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

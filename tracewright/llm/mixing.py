@@ -15,8 +15,8 @@ on in their proportions. A document longer than a block sits at its first block.
 Without given weights a source weighs the square root of its characters. Given weights are shares; a source that is not named has the least
 share there is, one slot in Q. Q is RESOLUTION, and 16 times the number of sources if that is more.
 
-Cases: a null source is a source. Null and empty texts have no characters and share the slot of what follows. Rows with a null doc_id come
-in the order of the hash of the empty text. Repeated rows each have their place. An empty table gives an empty result. Other columns are kept
+Cases: a null source is a source. Null and empty texts have no characters and share the slot of what follows. The order is by a hash of doc_id
+and text, so rows that share a doc_id, or have none, are spread like others as long as their texts differ. Texts of any length stay whole. Repeated rows each have their place. An empty table gives an empty result. Other columns are kept
 by ``mixed`` and ignored by ``schedule``.
 """
 
@@ -84,7 +84,7 @@ def _placed(docs: DataFrame, keep: list[Column], weights: dict[str, float] | Non
     rows = docs.select(
         *keep,
         _named(F.col("source")).alias("name"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("h"),
+        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary")).alias("h"),
         F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("size"),
     ).withColumn("piece", F.substring("h", 1, digits))
     sums = rows.groupBy("name", "piece").agg(F.sum("size").alias("chars"))
@@ -130,7 +130,7 @@ def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = """
 WITH RECURSIVE rows AS (
-    SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS name, md5(coalesce(doc_id::VARCHAR, '')) AS h, coalesce(length(text), 0) AS size FROM documents
+    SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS name, md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS h, coalesce(length(text), 0) AS size FROM documents
 ), asked AS (
     SELECT name, floor(sqrt(sum(size)::DOUBLE))::BIGINT AS r FROM rows GROUP BY name
 ), every AS (

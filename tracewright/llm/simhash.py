@@ -11,14 +11,15 @@ most 65 n rows, however large it is, and no link is lost.
 
 Cases: null and empty texts, and texts of white space, have fingerprint zero and are linked like any other. Texts of fewer than three
 words are one shingle. Repeated rows keep their row each and share a component. An empty table gives an empty result. A null
-doc_id takes part, but is never a component_id unless it is alone. Columns other than doc_id and text are ignored.
+doc_id takes part, but is never a component_id unless it is alone. Texts of any length are read whole, BLOCK shingles at a time. Columns other than
+doc_id and text are ignored by ``near_duplicates`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import minhash
@@ -56,13 +57,13 @@ def simhash(text: bytes | None) -> int:
 def _fingerprints(batches):
     for batch in batches:
         prints = np.array([simhash(x) for x in batch.column("text").to_pylist()], np.uint64)
-        yield pa.record_batch([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "print"])
+        yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array(prints.view(np.int64))], ["doc_id", "key", "print"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, print): print has the fingerprint's 64 bits as a signed long."""
+    """(doc_id, key, print): key tells texts apart, print has the fingerprint's 64 bits as a signed long."""
     tuned(docs.sparkSession)
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, print long")
+    return docs.select("doc_id", minhash.key().alias("key"), F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, print long")
 
 
 def _signed(batches):
@@ -96,23 +97,40 @@ def links(prints: DataFrame) -> DataFrame:
     return keys.join(met.hint("merge"), "key").where("print <> first").select(F.col("print").alias("src"), F.col("first").alias("dst")).distinct()
 
 
-def near_duplicates(docs: DataFrame, similar: bool = False) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of ``docs``; if ``similar``, near copies by ``minhash`` are linked as well."""
+def _rooted(docs: DataFrame, similar: bool) -> tuple[DataFrame, DataFrame]:
+    """The prints of ``docs``, and (print, first, best, root) of each distinct one: its smallest doc_id, the row that stands for it, and its component."""
     prints = materialize(signed(docs) if similar else fingerprints(docs), "simhash")
-    firsts = prints.groupBy("print").agg(F.min("doc_id").alias("first"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best")
+    firsts = prints.groupBy("print").agg(F.min("doc_id").alias("first"), best)
     linked = links(firsts.select("print"))
     parts = connected_components(linked.unionByName(minhash.copies(docs, prints, RADIUS)) if similar else linked)
-    rooted = firsts.join(parts.withColumnRenamed("node", "print").hint("merge"), "print", "left").withColumn("root", F.coalesce("component", "print"))
+    return prints, firsts.join(parts.withColumnRenamed("node", "print").hint("merge"), "print", "left").withColumn("root", F.coalesce("component", "print"))
+
+
+def near_duplicates(docs: DataFrame, similar: bool = False) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of ``docs``; if ``similar``, near copies by ``minhash`` are linked as well."""
+    prints, rooted = _rooted(docs, similar)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_print = rooted.select("print", "root").join(least.hint("merge"), "root").select("print", "component_id")
     return prints.join(of_print.hint("merge"), "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, similar: bool = False) -> DataFrame:
-    """``docs`` with one document, that of the smallest doc_id, of each group of near-duplicates, as ``near_duplicates`` links them. Rows without doc_id stay."""
-    named = docs.where("doc_id IS NOT NULL")
-    kept = near_duplicates(named, similar).where("doc_id = component_id").select("doc_id").distinct()
-    return named.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """``docs`` with one row of each group of near-duplicates, as ``near_duplicates`` links them: that of the smallest doc_id.
+
+    Rows that share a doc_id and differ in text are judged as the different texts they are, and so are rows without doc_id, which come after all
+    others. Of rows with the same doc_id and text that of the smallest hash of all columns stays, so the result is the same in every run.
+    """
+    stays = _rooted(docs, similar)[1].groupBy("root").agg(F.min("best").alias("x")).select(*_identity("x.doc_id", F.col("x.key")))
+    hashable = [c.name for c in docs.schema if "map<" not in c.dataType.simpleString()]
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(*hashable).alias("hash"), *_identity("doc_id", minhash.key()))
+    kept = rows.join(stays.hint("merge"), ["id", "none", "key"], "left_semi").groupBy("id", "none", "key").agg(F.min_by("row", "hash").alias("row"))
+    return kept.select("row.*")
+
+
+def _identity(doc_id: str, key: Column) -> list[Column]:
+    """What tells rows apart by doc_id and text, without nulls, so that rows can be joined by it."""
+    return [F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), F.col(doc_id).isNull().alias("none"), key.alias("key")]
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ SHARD_BYTES = 128 << 20
 BLOOM_BITS, BLOOM_PROBES = 10, 7
 #: Words of a generation whose ids a worker remembers; there are two.
 CACHE_WORDS = 400_000
-MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long"
+MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long, first binary, last binary"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -285,7 +285,7 @@ def _writer(directory: str, vocabulary, end_id: int):
         def closed():
             shard.close()
             uri = f"{directory}/{os.path.basename(shard.path)}"
-            return pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([uri]), pa.array([shard.n_docs]), pa.array([shard.n_tokens])], ["part", "seq", "path", "n_docs", "n_tokens"])
+            return pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([uri]), pa.array([shard.n_docs]), pa.array([shard.n_tokens]), pa.array([shard.keys[0]], pa.binary()), pa.array([shard.keys[-1]], pa.binary())], ["part", "seq", "path", "n_docs", "n_tokens", "first", "last"])
 
         for batch in batches:
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
@@ -301,8 +301,8 @@ def _writer(directory: str, vocabulary, end_id: int):
     return write
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, directory: str | None = None, range_by: list | None = None) -> list[tuple[str, int, int]]:
-    """Writes ``docs`` (doc_id, text) and returns (path, documents, ids) of each shard, in order.
+def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, directory: str | None = None, range_by: list | None = None) -> list[tuple[str, int, int, bytes, bytes]]:
+    """Writes ``docs`` (doc_id, text) and returns (path, documents, ids, first key, last key) of each shard, in order.
 
     By default shards follow each other in ascending doc_id. ``range_by`` has other columns by which rows are dealt out to
     shards, for instance a training order; within a shard rows are sorted by doc_id all the same. The list has one row per shard.
@@ -315,7 +315,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, directory: s
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("h"), *(range_by or []))
     rows = rows.repartitionByRange(*([c for c in rows.columns if c not in ("doc_id", "text", "h")] if range_by else ["doc_id", "h"])).sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     made = rows.mapInArrow(_writer(directory, vocabulary, end_id), MANIFEST).collect()
-    return [(r.path, r.n_docs, r.n_tokens) for r in sorted(made, key=lambda r: (r.part, r.seq))]
+    return [(r.path, r.n_docs, r.n_tokens, bytes(r.first), bytes(r.last)) for r in sorted(made, key=lambda r: (r.part, r.seq))]
 
 
 def _read(batches):
@@ -339,24 +339,31 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def read_shards(spark: SparkSession, shards: list[tuple[str, int, int]]) -> DataFrame:
+def read_shards(spark: SparkSession, shards: list[tuple]) -> DataFrame:
     """One row for each stored document: doc_id, start, n_tokens, ids_crc32, read from the files."""
     rows, start = [], 0
-    for path, _, n in shards:
+    for path, _, n, *_ in shards:
         rows.append((path, start))
         start += n
     places = spark.createDataFrame(rows, "path string, start long")
     return (places.repartition(min(len(rows), 4096)) if len(rows) > 1 else places).mapInArrow(_read, RESULT)
 
 
-def lookup(shards: list[tuple[str, int, int]], doc_id: int | None) -> list[list[int]]:
-    """The ids of each document stored under ``doc_id``; reads the blocks that may hold it."""
+def lookup(shards: list[tuple], doc_id: int | None) -> list[list[int]]:
+    """The ids of each document stored under ``doc_id``; opens the shards whose keys span it, and reads the blocks that may hold it.
+
+    Shards in ascending order of keys, which is what ``write_shards`` gives by default, are searched by halves.
+    """
     import numpy as np
 
-    found = []
-    for path, _, _ in shards:
-        shard = Shard(path)
-        found += [np.frombuffer(v, f"<u{shard.width}").tolist() for v in shard.get(key_of(doc_id))]
+    key, found = key_of(doc_id), []
+    ordered = all(a[4] <= b[3] for a, b in zip(shards, shards[1:], strict=False))
+    for path, _, _, first, last in shards[bisect.bisect_left(shards, key, key=lambda s: s[4]) if ordered else 0 :]:
+        if ordered and first > key:
+            break
+        if first <= key <= last:
+            shard = Shard(path)
+            found += [np.frombuffer(v, f"<u{shard.width}").tolist() for v in shard.get(key)]
     return found
 
 
