@@ -8,13 +8,19 @@ documents. ``run`` writes each stage's rows as Parquet into the shared folder an
 3. decontaminate: documents that contain a passage of ``benchmark`` are dropped.
 4. mix: sources are mixed to their target weights. All documents stay; the rows' order is the mix.
 5. tokenize: texts go to token shards. Shards follow the mix, each holding a stretch of it, keyed and sorted by doc_id within; the rows
-   tell where each document lies.
+   tell where each document lies. The mix is read from the order of the stored rows.
+
+Cases, which hold for every stage: null and empty texts are documents like others (no stage but near_dedup, for which they are copies of each
+other, drops them). Texts of any length are judged whole. Of rows with the same doc_id and text one stays; rows that share a doc_id, or have none,
+and differ in text are judged each by its own text. Ties go to the smaller doc_id, then to the smaller hash, so all runs agree. An empty table goes
+through as an empty table. Further columns, whatever their names, are carried along up to the last stage.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +52,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    shards = sstable.write_shards(mixing.slotted(docs), str(public_tokenizers.path("word_bpe_49k.json")), 2, range_by=["slot"])
+    try:  # the stage before has stored its rows in the order of the mix
+        part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
+        placed = docs.select("doc_id", "text", F.coalesce(part, F.lit(-1)).alias("part"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:  # rows that are not stored are put in order here
+        placed = mixing.slotted(docs)
+    shards = sstable.write_shards(placed, str(public_tokenizers.path("word_bpe_49k.json")), 2, range_by=placed.columns[2:])
     return sstable.read_shards(spark, shards)
 
 
