@@ -133,7 +133,7 @@ def test_an_expression_of_two_words_weighs_more_than_its_words(small_prior):
     assert ratio("get lost") > ratio("lost get") + 0.5
 
 
-def test_the_whole_query_against_brute_force(spark, small_prior):
+def test_the_whole_query_against_brute_force(spark):
     """Sample, models, features, calibration and scores, worked out again without any of the operator's code for them."""
     docs, labels = rows_of(120)
     docs += [(1000, None, 1, ""), (1001, "", 1, ""), (1003, "SCUMa w1 w2 " * 7, 0, "")]

@@ -16,7 +16,7 @@ the whole text, those of its worst passages of PASSAGES words, and that of the t
 is toxic and the rest ordinary. A logistic regression on these, fitted on labelled rows that the models have not seen, makes them a probability, and
 is shifted to the share of toxic rows among all training labels.
 
-The models are fitted at the driver on a bounded sample of labelled rows: SAMPLE = (toxic, ordinary) rows at most, those whose doc_id has the
+The models are fitted in one task on a bounded sample of labelled rows: SAMPLE = (toxic, ordinary) rows at most, those whose doc_id has the
 smallest hashes, and SAMPLE_BYTES of their text at most. What executors get are tables of the sample's words, pairs and byte runs.
 
 Cases: null and empty texts have the ratios 0. Texts of any length are scored whole, BATCH_BYTES of texts at a time, and a longer text by itself; a text
@@ -28,6 +28,7 @@ scored alike. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 
 import numpy as np
@@ -49,7 +50,7 @@ CALIBRATE = 5
 #: Bytes of texts that are looked up together.
 BATCH_BYTES = 1 << 19
 #: Parts in which pairs are counted, one after the other.
-SHARDS = 8
+SHARDS = 16
 #: Multiplier that tells the first word of a pair from the second: a fixed value.
 FIRST = np.uint64(0x9E3779B97F4A7C15)
 RESULT = "doc_id long, held_out boolean, score double, predicted int"
@@ -147,45 +148,65 @@ class Spelling:
         return out
 
 
-def _picked(texts: list[bytes], hashes: list[np.ndarray], places: np.ndarray) -> list[bytes]:
+def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, in order, and where each is first; worked out in parts, as sorting takes several times the room."""
+    found = []
+    for k in range(SHARDS):
+        at = np.flatnonzero(hashes % np.uint64(SHARDS) == k)
+        some, first = np.unique(hashes[at], return_index=True)
+        found.append((some, at[first]))
+    values, places = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(values)
+    return values[order], places[order]
+
+
+def _picked(texts: list[bytes], lengths: list[int], places: np.ndarray) -> list[bytes]:
     """The words at ``places`` among all words of the texts."""
     out: list[bytes] = [b""] * len(places)
     order = np.argsort(places)
-    bounds = np.searchsorted(places[order], np.cumsum([0, *map(len, hashes)]))
+    bounds = np.searchsorted(places[order], np.cumsum([0, *lengths]))
     start = 0
-    for text, h, lo, hi in zip(texts, hashes, bounds, bounds[1:], strict=False):
+    for text, n, lo, hi in zip(texts, lengths, bounds, bounds[1:], strict=False):
         if hi > lo:
             words = text.split()
             for k in order[lo:hi].tolist():
                 out[k] = words[places[k] - start]
-        start += len(h)
+        start += n
     return out
 
 
-def _seen(texts: list[np.ndarray]) -> dict[str, np.ndarray]:
+def _seen(hashes: np.ndarray, lengths: list[int]) -> dict[str, np.ndarray]:
     """What a class has seen, from the hashes of its texts' words. Each pair counts by the different words before it.
 
     words: after how many different words each came; firsts: the total of each word's pairs, and their kinds; pairs: those that count more than once.
     """
-    # A text starts after two empty words, so its first word and pair have a word before them, too.
-    texts = [np.concatenate((np.zeros(2, np.uint64), h)) for h in texts]
-    u, v, w = (np.concatenate([np.zeros(0, np.uint64), *(h[i : len(h) - 2 + i] for h in texts)]) for i in range(3))
-    del texts
-    pair = _mixed(v * FIRST + w)
-    found = []
+    starts = np.cumsum([0, *lengths])[:-1][np.array(lengths, np.int64) > 0]
+
+    def back(at: np.ndarray, by: int) -> np.ndarray:
+        """The word ``by`` places before; a text starts after empty words, so its first word and pair have a word before them, too."""
+        begin = starts[np.searchsorted(starts, at, side="right") - 1]
+        return np.where(at - by >= begin, hashes[np.maximum(at - by, 0)], np.uint64(0))
+
+    shard, found = np.zeros(len(hashes), np.uint8), []
+    for lo in range(0, len(hashes), 1 << 18):
+        at = np.arange(lo, min(len(hashes), lo + (1 << 18)))
+        shard[at] = _mixed(back(at, 1) * FIRST + hashes[at]) % np.uint64(SHARDS)
     for k in range(SHARDS):  # a pair is in one shard
-        at = np.flatnonzero(pair % np.uint64(SHARDS) == k)
-        at = at[np.unique(_mixed(u[at] * FIRST + pair[at]), return_index=True)[1]]
-        keys, first, n = np.unique(pair[at], return_index=True, return_counts=True)
-        found.append((keys, n.astype(np.float32), v[at[first]], w[at[first]]))
-    del u, v, w, pair
-    pairs, n, first, second = (np.concatenate(x) for x in zip(*found, strict=True))
-    words, after = np.unique(second, return_counts=True)
-    firsts, place = np.unique(first, return_inverse=True)
-    total, kinds = np.bincount(place, weights=n, minlength=len(firsts)), np.bincount(place, minlength=len(firsts))
-    often = np.flatnonzero(n > 1)
-    often = often[np.argsort(pairs[often])]
-    return {"words": words, "after": after.astype(np.float64), "firsts": firsts, "total": total, "kinds": kinds.astype(np.float64), "pairs": pairs[often], "n": n[often].astype(np.float64), "first": first[often], "second": second[often]}
+        at = np.flatnonzero(shard == k)
+        first = back(at, 1)
+        pair = _mixed(first * FIRST + hashes[at])
+        own = np.unique(_mixed(back(at, 2) * FIRST + pair), return_index=True)[1]
+        keys, place, n = np.unique(pair[own], return_index=True, return_counts=True)
+        first, second = first[own[place]], hashes[at[own[place]]]
+        often = np.flatnonzero(n > 1)
+        ends = np.unique(second, return_counts=True)
+        begins, own = np.unique(first, return_inverse=True)
+        found.append((*ends, begins, np.bincount(own, weights=n), np.bincount(own), keys[often], n[often], first[often], second[often]))
+    words, after, firsts, total, kinds, pairs, n, first, second = (np.concatenate(x) for x in zip(*found, strict=True))
+    words, after = _summed(words, after)
+    total, kinds = _summed(firsts, total)[1], _summed(firsts, kinds)[1]
+    order = np.argsort(pairs)
+    return {"words": words, "after": after, "firsts": np.unique(firsts), "total": total, "kinds": kinds, "pairs": pairs[order], "n": n[order].astype(np.float64), "first": first[order], "second": second[order]}
 
 
 def _pairs(hashes: np.ndarray) -> np.ndarray:
@@ -202,10 +223,12 @@ class Ratios:
         for c in (False, True):
             side = [t for t, x in zip(texts, toxic, strict=True) if bool(x) == c]
             hashes = [word_hashes(t) for t in side]
-            some, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_index=True)
+            lengths = [len(h) for h in hashes]
+            hashes = np.concatenate([np.zeros(0, np.uint64), *hashes])
+            some, at = _distinct(hashes)
             known.append(some)
-            spoken.append(_picked(side, hashes, at))
-            seen.append(_seen(hashes))
+            spoken.append(_picked(side, lengths, at))
+            seen.append(_seen(hashes, lengths))
         self.spelling = Spelling(spoken)
         vocabulary = np.union1d(*known)
         # Words by continuation counts, discounted by one; the rest of the mass is spelled.
@@ -310,25 +333,34 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, mo
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).select("doc_id", (F.col("toxic") > 0).alias("toxic"))
     n = {r.toxic: r.n for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = n.get(True, 0) / max(1, sum(n.values()))
-    rows = sampled(docs, marks, sample, most_bytes).toArrow().sort_by("doc_id")
-    toxic, texts = rows.column("toxic").to_pylist(), rows.column("text")
-    fitting = [zlib.crc32(str(d).encode()) // 4 % CALIBRATE > 0 for d in rows.column("doc_id").to_pylist()]
+    rows = sampled(docs, marks, sample, most_bytes).repartition(1).sortWithinPartitions("doc_id")  # bounded, so one task holds it
+    made = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic", "text").mapInArrow(_fit, "model binary").toArrow().column(0).to_pylist()
+    return {"share": share} | (pickle.loads(made[0]) if made else {})
+
+
+def _fit(batches):
+    """The models and the calibration of all rows, pickled; nothing if one class has no rows to learn from or to calibrate by."""
+    table = pa.Table.from_batches(list(batches), pa.schema([("doc_id", pa.int64()), ("toxic", pa.bool_()), ("text", pa.binary())]))
+    toxic, texts = table.column("toxic").to_pylist(), table.column("text")
+    fitting = [zlib.crc32(str(d).encode()) // 4 % CALIBRATE > 0 for d in table.column("doc_id").to_pylist()]
     if any(len({t for t, f in zip(toxic, fitting, strict=True) if f == side}) < 2 for side in (True, False)):
-        return {"share": share}
+        return
     of = lambda side: [i for i, f in enumerate(fitting) if f == side]
     model = Ratios([(texts[i].as_py() or b"").translate(LOWER) for i in of(True)], [toxic[i] for i in of(True)])
     x = np.concatenate([weighed(model, [texts[i].as_py()]) for i in of(False)])
     y = np.array([toxic[i] for i in of(False)], np.float64)
     w, offset, mean, scale = calibrate(x, y)
     odds = lambda p: np.log(p / (1 - p))
-    return {"share": share, "model": model, "weights": w, "offset": offset + odds(share) - odds(y.mean()), "mean": mean, "scale": scale}
+    fitted = {"model": model, "weights": w, "offset": offset, "mean": mean, "scale": scale, "rate": odds(y.mean())}
+    yield pa.record_batch([pa.array([pickle.dumps(fitted)], pa.binary())], ["model"])
 
 
 def probabilities(fitted: dict, texts: list[bytes | None]) -> np.ndarray:
     if "model" not in fitted:
         return np.full(len(texts), fitted["share"])
     x = (weighed(fitted["model"], texts) - fitted["mean"]) / fitted["scale"]
-    return 1 / (1 + np.exp(-np.clip(x @ fitted["weights"] + fitted["offset"], -500, 500)))
+    shift = np.log(fitted["share"] / (1 - fitted["share"])) - fitted["rate"]  # from the share of toxic rows that calibrated to that of all
+    return 1 / (1 + np.exp(-np.clip(x @ fitted["weights"] + fitted["offset"] + shift, -500, 500)))
 
 
 def _scorer(sent):
