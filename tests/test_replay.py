@@ -24,7 +24,7 @@ def outcomes(log):
     return {r.ordinal - min(x.ordinal for x in log if x.ordinal is not None): r.outcome for r in log if r.ordinal is not None}
 
 
-QUERIES = [(1, "SELECT 1 /* MOCK_BYTES=500 */", None), (2, "DROP TABLE t", None), (1, "SELECT 2 /* MOCK_BYTES=5000 */", None), (3, "SELECT MOCK_FAIL", None), (3, "SELECT 3", "shop"), (4, "SELECT MOCK_FATAL", None), (4, "SELECT 4", None), (4, "INSERT INTO t VALUES (1)", None), (1, "USE other", None)]
+QUERIES = [(1, "SELECT 1 /* mock: bytes=500 */", None), (2, "DROP TABLE t", None), (1, "SELECT 2 /* mock: bytes=5000 */", None), (3, "SELECT f() /* mock: fails */", None), (3, "SELECT 3", "shop"), (4, "SELECT g() /* mock: hangs up */", None), (4, "SELECT 4", None), (4, "INSERT INTO t VALUES (1)", None), (1, "USE other", None)]
 
 
 def test_outcomes_of_a_replay(spark, tmp_path):
@@ -124,9 +124,11 @@ def test_bad_windows(text):
 def test_windows_and_speeds():
     assert ev.parse_window("2024-01-01T00:00:00.5+01:00..1704067200") == (1704063600500000, 1704067200000000)
     assert ev.parse_window("..7") == (None, 7_000_000)
-    assert replay.parse_speed("0") is None and replay.parse_speed("2.5x") == 2.5
-    with pytest.raises(ValueError):
-        replay.parse_speed("-1")
+    assert replay.parse_speed("max") is None and replay.parse_speed("MAX") is None and replay.parse_speed("2.5") == 2.5
+    assert [replay.Options(speed=x).speed_label for x in (None, 2.0, 0.5, 1e6)] == ["max", "2", "0.5", "1000000"]
+    for text in ("0", "-1", "2x", "inf", "nan", "fast", ""):
+        with pytest.raises(ValueError):
+            replay.parse_speed(text)
 
 
 def test_pacing_model_against_a_loop(spark):
@@ -158,7 +160,7 @@ def fp(text, count, p95, errors=0, buckets=(), size=None, checksum=None):
 
 
 def run(classes, **more):
-    flags = {"max_connections": 50, "allow_writes": False, "read_only": True, "speed": "0", "checksum": True, "warmup": False}
+    flags = {"max_connections": 50, "allow_writes": False, "read_only": False, "speed": "max", "checksum": True, "warmup": False}
     totals = {"events": 1, "sessions": 1, "executed": 100, "skipped": 0, "errors": 0, "not_run": 0, "connect_failures": 0, "qps": 50.0, "filtered": 0}
     return {"tool": "t", "tool_version": "1", "capture_file": "c", "capture_dialect": "mysql-8.0", "latency_source": "replayed", "target_url": "u", "target_server_version": "5.7.42", "started_at": "", "ended_at": "", "wall_secs": 2.0, "aborted": False, "flags": flags | more.pop("flags", {}), "totals": totals | more.pop("totals", {}), "saturation": {"samples": 0, "saturated_samples": 0, "saturated_pct": 0.0}, "target_settings": {"sql_mode": "a", "same": "x"}, "fingerprints": classes} | more
 
@@ -214,7 +216,9 @@ def test_command_line(spark, tmp_path, capsys):
     c, b, r = (str(tmp_path / x) for x in ("c.jsonl.zst", "b.json", "r.json"))
     assert cli.main(["capture", "--input", str(tmp_path / "s.log"), "--out", c, "--format", "slowlog"]) == 0
     assert cli.main(["baseline", "--capture", c, "--out", b]) == 0
-    assert cli.main(["replay", "--capture", c, "--out", r, "--target", "mock", "--repeat", "2"]) == 0
+    assert cli.main(["replay", "--capture", c, "--out", r, "--url", "mock", "--repeat", "2"]) == 0
+    assert cli.main(["replay", "--capture", c, "--url", "mock", "--speed", "max", "--read-only"]) == 0
+    assert json.loads((tmp_path / "r.json").read_text())["flags"]["speed"] == "max"
     assert json.loads((tmp_path / "r.pass2.json").read_text())["totals"]["skipped"] == 1
     assert cli.main(["compare", b, r]) in (0, 2)
     assert cli.main(["baseline", "--capture", c, "--out", b, "--filter-db", "none"]) == 1
@@ -252,3 +256,93 @@ def test_settings_of_a_mysql_server():
 def test_descriptors():
     assert replay.descriptors_left(1) is None
     assert "file descriptors" in replay.descriptors_left(1 << 60)
+
+
+@pytest.mark.parametrize("bad", [["--allow-writes", "--read-only"], ["--pool", "2", "--max-connections", "3"], ["--speed", "0"], ["--repeat", "0"], ["--pool", "0"]])
+def test_options_that_do_not_go_together(bad, capsys):
+    with pytest.raises(SystemExit) as e:
+        cli._parser().parse_args(["replay", "--capture", "c", "--url", "mock", *bad])
+    assert e.value.code == 2
+
+
+def test_a_url_is_needed_and_may_be_a_server(spark, monkeypatch):
+    with pytest.raises(SystemExit):
+        cli._parser().parse_args(["replay", "--capture", "c"])
+    made = []
+
+    class Driver(_Server):
+        @staticmethod
+        def connect(**settings):
+            made.append(settings)
+            return Driver()
+
+        def autocommit(self, on):
+            made.append(on)
+
+    import sys
+
+    monkeypatch.setitem(sys.modules, "pymysql", Driver)
+    target = cli._target(spark, "mysql://root:p%40s:s@db.example:3307/shop")
+    assert isinstance(target, replay.MySqlTarget) and target.version() == "8.0.36"
+    assert made[:2] == [{"host": "db.example", "port": 3307, "user": "root", "password": "p@s:s", "database": "shop"}, True]
+    assert target.fatal(Exception(2013, "lost")) and not target.fatal(Exception(1064, "syntax"))
+    with pytest.raises(ValueError, match=r"\*\*\*"):
+        cli._target(spark, "postgres://u:secret@h/d")
+
+
+def test_reports_hold_no_password(spark, tmp_path):
+    c = capture(spark, tmp_path, QUERIES)
+    report, _ = reports.replay_report(c, "c", replay.MockTarget(), replay.Options(), "mysql://u:s3cret@h:1/d")
+    assert report["target_url"] == "mysql://u:***@h:1/d" and "s3cret" not in json.dumps(report)
+
+
+def test_writes_are_never_run_twice(spark, tmp_path):
+    """A task whose partition has been started before fails, whichever attempt it is; another pass is another matter."""
+    marks = f"file://{tmp_path}/marks"
+    replay._once(marks, 0, 3)
+    replay._once(marks, 0, 4)
+    replay._once(marks, 1, 3)
+    with pytest.raises(RuntimeError, match="not run again"):
+        replay._once(marks, 0, 3)
+    c = capture(spark, tmp_path, QUERIES)
+    log = replay.run_pass(c.events, replay.MockTarget(), replay.Options(allow_writes=True, max_connections=2))
+    assert log.count() == log.count() == 9  # the log is written: reading it runs nothing
+
+
+class _Dying(replay.MockTarget):
+    """Writes down each statement, and dies at the third."""
+
+    def __init__(self, path):
+        super().__init__()
+        self.path = path
+
+    def connect(self):
+        outer = self
+
+        class Conn(replay.Connection):
+            def query(self, sql):
+                with open(outer.path, "a+") as f:
+                    f.write(sql + "\n")
+                    f.seek(0)
+                    if len(f.readlines()) == 3:
+                        import os
+
+                        os._exit(1)
+                return 1
+
+            def query_checksum(self, sql):
+                return None
+
+        return Conn()
+
+
+def test_a_task_that_dies_does_not_repeat_its_writes(spark, tmp_path):
+    path = str(tmp_path / "statements")
+    c = capture(spark, tmp_path, [(1, f"INSERT INTO t VALUES ({i})", None) for i in range(6)])
+    with pytest.raises(Exception, match=r"(?i)worker|not run again|crash"):
+        replay.run_pass(c.events, _Dying(path), replay.Options(allow_writes=True, max_connections=1))
+    assert len(open(path).read().splitlines()) == 3
+
+
+def test_all_connections_are_used():
+    assert [50 // 8 + (p < 50 % 8) for p in range(8)] == [7, 7, 6, 6, 6, 6, 6, 6]

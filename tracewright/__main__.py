@@ -8,6 +8,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from tracewright.functions.scalars import redact_url_text
 from tracewright.operators import events as ev
 from tracewright.operators.compare import MIN_COUNT, THRESHOLD_PCT, Comparison
 from tracewright.plans import render, replay, reports
@@ -21,6 +22,19 @@ def _session() -> SparkSession:
     return spark
 
 
+def _positive(text: str) -> int:
+    if (n := int(text)) < 1:
+        raise argparse.ArgumentTypeError(f"{text} is not at least 1")
+    return n
+
+
+def _speed(text: str) -> float | None:
+    try:
+        return replay.parse_speed(text)
+    except ValueError as e:
+        raise argparse.ArgumentTypeError(str(e)) from e
+
+
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tracewright", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
@@ -33,21 +47,25 @@ def _parser() -> argparse.ArgumentParser:
     for name in ("replay", "baseline"):
         r = sub.add_parser(name)
         r.add_argument("--capture", required=True)
-        r.add_argument("--out", required=True)
+        r.add_argument("--out", required=name == "baseline")
         r.add_argument("--filter-db")
         r.add_argument("--filter-user")
         r.add_argument("--time-window")
         r.add_argument("--top", type=int, default=10)
         if name == "replay":
-            r.add_argument("--target", default="spark", help="spark, mock, or duckdb:PATH")
-            r.add_argument("--max-connections", type=int, default=50)
-            r.add_argument("--pool", type=int)
-            r.add_argument("--allow-writes", action="store_true")
+            r.add_argument("--url", "--target", dest="target", required=True, help="mysql://user:password@host:port/db, duckdb:PATH, spark, or mock")
+            cap_or_pool = r.add_mutually_exclusive_group()
+            cap_or_pool.add_argument("--max-connections", type=_positive, default=50)
+            cap_or_pool.add_argument("--pool", type=_positive)
+            gate = r.add_mutually_exclusive_group()
+            gate.add_argument("--allow-writes", action="store_true")
+            gate.add_argument("--read-only", action="store_true", help="which is the default")
+            r.add_argument("--spool-dir", help="taken and not needed: the spool is a shuffle, which lies in spark.local.dir")
             r.add_argument("--db-override")
-            r.add_argument("--speed", default="0")
+            r.add_argument("--speed", type=_speed, default="max", help="max, or a positive factor of the recorded pace")
             r.add_argument("--checksum", action="store_true")
             r.add_argument("--warmup", action="store_true")
-            r.add_argument("--repeat", type=int, default=1)
+            r.add_argument("--repeat", type=_positive, default=1)
     d = sub.add_parser("compare")
     d.add_argument("baseline")
     d.add_argument("candidate")
@@ -71,7 +89,9 @@ def _target(spark: SparkSession, text: str) -> replay.Target:
         return replay.DuckDbTarget(rest or ":memory:")
     if kind == "mock":
         return replay.MockTarget()
-    raise ValueError(f"no such target: {text}")
+    if kind == "mysql":
+        return replay.MySqlTarget.at(text)
+    raise ValueError(f"no such target: {redact_url_text(text)}")
 
 
 def _capture(spark: SparkSession, a) -> int:
@@ -93,7 +113,7 @@ def _capture(spark: SparkSession, a) -> int:
 
 
 def _replay(spark: SparkSession, a) -> int:
-    options = replay.Options(a.max_connections, a.allow_writes, a.db_override, replay.parse_speed(a.speed), a.checksum, a.pool, a.warmup, a.repeat, _filters(a), a.time_window, replay.abort_file(spark))
+    options = replay.Options(a.max_connections, a.allow_writes, a.db_override, a.speed, a.checksum, a.pool, a.warmup, a.repeat, _filters(a), a.time_window, replay.abort_file(spark), a.read_only)
 
     if warning := replay.descriptors_left(a.pool or a.max_connections):
         print(f"warning: {warning}", file=sys.stderr)
@@ -109,8 +129,9 @@ def _replay(spark: SparkSession, a) -> int:
     signal.signal(signal.SIGINT, stop)
     signal.signal(signal.SIGTERM, stop)
     report, each = reports.replay_report(cap.read_capture(spark, a.capture), a.capture, _target(spark, a.target), options, a.target)
-    reports.write_report(report, a.out)
-    if len(each) > 1:
+    if a.out:
+        reports.write_report(report, a.out)
+    if a.out and len(each) > 1:
         for k, r in enumerate(each, 1):
             reports.write_report(r, reports.pass_path(a.out, k))
     print(render.run_table(report, a.top))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,6 +90,11 @@ def redact_url(url: Column) -> Column:
     return F.regexp_replace(url, r"^([\s\S]*?://[^/?#:@]*):[^/?#]*@", "$1:***@")
 
 
+def redact_url_text(url: str) -> str:
+    """X15 for a text."""
+    return re.sub(r"^([\s\S]*?://[^/?#:@]*):[^/?#]*@", r"\1:***@", url)
+
+
 def escape_html(s: Column) -> Column:
     """X28."""
     for raw, ref in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):

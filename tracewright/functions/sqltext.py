@@ -220,9 +220,25 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: The first word, if nothing but white space and parentheses comes before it and it plainly ends.
+FIRST_WORD = rf"^[{WHITE}(]*+([A-Za-z_][A-Za-z0-9_]*+)(?=[{WHITE}(;]|\z)"
+
+
 def classify(sql: Column) -> Column:
-    """X2 as a column: 'read' or 'write'."""
-    return _let(_live(sql), lambda tokens: _let(_placed(tokens), lambda words: _class_of(tokens, words)))
+    """X2 as a column: 'read' or 'write'. Most statements are decided by their first word; the others are taken apart."""
+    whole = _let(_live(sql), lambda tokens: _let(_placed(tokens), lambda words: _class_of(tokens, words)))
+    plain = ~sql.contains(";") & ~sql.contains("/*")
+
+    def decide(first: Column) -> Column:
+        doubtful = first.isin("", "with", "set", *EXPLAIN_VERBS)
+        return (
+            F.when(~doubtful & ~first.isin("select", *READ_VERBS), "write")
+            .when(plain & first.isin(*READ_VERBS), "read")
+            .when(plain & (first == "select") & ~F.lower(sql).contains("into"), "read")
+            .otherwise(whole)
+        )
+
+    return _let(_ascii_lower(F.regexp_extract(sql, FIRST_WORD, 1)), decide)
 
 
 def _class_of(tokens: Column, words: Column) -> Column:
@@ -265,8 +281,8 @@ def _class_of(tokens: Column, words: Column) -> Column:
 
 def is_use(sql: Column) -> Column:
     """X4 as a column."""
-    words = F.filter(_live(sql), _word_like)
-    return F.coalesce(F.get(words, F.lit(0)) == "use", F.lit(False))
+    whole = F.coalesce(F.get(F.filter(_live(sql), _word_like), F.lit(0)) == "use", F.lit(False))
+    return _let(_ascii_lower(F.regexp_extract(sql, FIRST_WORD, 1)), lambda first: F.when(first != "", first == "use").otherwise(whole))
 
 
 def should_execute(sql: Column, allow_writes: bool) -> Column:

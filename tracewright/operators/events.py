@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright.functions import sqltext
+from tracewright.storage import numbered, small, written
 
 
 def parse_instant(text: str) -> int:
@@ -78,10 +79,19 @@ def fingerprint_dim(events: DataFrame) -> DataFrame:
     return firsts.select((F.row_number().over(W.orderBy("first")) - 1).cast("long").alias("id"), F.col("fingerprint").alias("text"))
 
 
-def with_fingerprint_id(events: DataFrame) -> DataFrame:
-    """Events with the id of their class, for a capture that is being made."""
+def classified(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events with the id of their class, for a capture that is being made, and the table of classes, which is written.
+
+    Events are many and classes few, so the table goes to the events as long as its measured size allows it.
+    """
     named = with_fingerprint(events.drop("fingerprint_id"))
-    return named.join(fingerprint_dim(named).withColumnRenamed("id", "fingerprint_id").withColumnRenamed("text", "fingerprint"), "fingerprint").drop("fingerprint")
+    dim = written(fingerprint_dim(named), "classes")
+    texts = dim.select(F.col("id").alias("fingerprint_id"), F.col("text").alias("fingerprint"))
+    return named.join(small(texts), "fingerprint").drop("fingerprint"), dim
+
+
+def with_fingerprint_id(events: DataFrame) -> DataFrame:
+    return classified(events)[0]
 
 
 def with_text(events: DataFrame, dim: DataFrame) -> DataFrame:
@@ -104,14 +114,13 @@ def executable(allow_writes: bool, skip_use: bool) -> Column:
 def prune_sessions(events: DataFrame, allow_writes: bool = False, skip_use: bool = False) -> DataFrame:
     """F8: without the sessions in which nothing is run; ``runs`` tells which events are."""
     marked = events.withColumn("runs", executable(allow_writes, skip_use))
-    live = marked.where("runs").select("session_id").distinct()
-    return marked.join(live, "session_id", "left_semi")
+    return marked.withColumn("live", F.bool_or("runs").over(W.partitionBy("session_id"))).where("live").drop("live")
 
 
 def session_order(events: DataFrame) -> DataFrame:
     """With ``session_rank``, sessions counted as they first appear, and ``in_session``, an event's place in its session."""
     firsts = events.groupBy("session_id").agg(F.min("ordinal").alias("first"))
-    ranks = firsts.select("session_id", F.row_number().over(W.orderBy("first")).alias("session_rank"))
+    ranks = numbered(firsts, ["first"], "place").select("session_id", (F.col("place") + 1).cast("int").alias("session_rank"))
     return events.withColumn("in_session", F.row_number().over(W.partitionBy("session_id").orderBy("ordinal"))).join(ranks, "session_id")
 
 

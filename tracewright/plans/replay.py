@@ -1,8 +1,9 @@
 """Executes captured sessions on a target and logs what became of each event.
 
 Sessions are dealt to partitions by a shuffle, in which each one's events are sorted; that shuffle is the spool. A task runs the sessions of its
-partition, each in order and on a connection of its own, or on connections of a small pool. The log is written once, so that neither a report
-nor a lost executor makes the target run a statement again.
+partition, each in order and on a connection of its own, or on connections of a small pool. The log is written once, so that no report makes
+the target run a statement again. A task that is lost is run again by Spark, and so are its sessions' reads. With writes allowed that must
+not be: a task then leaves a mark in the shared folder before its first statement, and one that finds its partition marked fails.
 
 The write gate holds by default: what is not provably a read is skipped. A target that fails in a way that ends its connection ends the
 session: the rest of its events are ``not_run``.
@@ -10,6 +11,7 @@ session: the rest of its events are ``not_run``.
 
 from __future__ import annotations
 
+import contextlib
 import queue
 import re
 import struct
@@ -27,10 +29,12 @@ from pyspark.sql import functions as F
 
 from tracewright import schemas
 from tracewright.functions import sqltext
-from tracewright.functions.scalars import truncate_bytes
+from tracewright.functions.scalars import redact_url_text, truncate_bytes
 from tracewright.operators import events as ev
 from tracewright.storage import shared_path, written
 
+#: Rows of a log that the driver holds at a time.
+DRIVER_ROWS = 50_000
 LOG_TYPES = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "decimal(20,0)": pa.decimal128(20, 0), "array<string>": pa.list_(pa.string())}
 LOG_FIELDS = [(c.split()[0], c.split()[1]) for c in re.split(r", (?=[a-z_]+ )", schemas.EXEC_LOG)]
 
@@ -124,7 +128,11 @@ def checksum_rows(rows: Iterable, columns: list[str]) -> ResultChecksum:
 
 
 class MockTarget(Target):
-    """Outcomes by marks in the text: MOCK_BYTES=n, MOCK_FAIL, MOCK_FATAL, MOCK_NO_RESULT, MOCK_ROW=x; the size is the text's otherwise."""
+    """A target without a server: a comment ``/* mock: ... */`` in a statement says what becomes of it.
+
+    ``fails`` is an error, ``hangs up`` one that ends the connection; ``bytes=n`` is the size of the result, which is else that of the text;
+    ``row=x`` is its one row, and with ``no result`` there is none.
+    """
 
     def __init__(self, latency_s: float = 0.0, connects: bool = True):
         self.latency_s, self.connects = latency_s, connects
@@ -139,21 +147,23 @@ class _MockConnection(Connection):
     def __init__(self, latency_s: float):
         self.latency_s = latency_s
 
+    @staticmethod
+    def _told(sql: str) -> dict[str, str]:
+        said = re.search(r"/\* mock: (.*?) \*/", sql)
+        return dict((x.strip().split("=", 1) + [""])[:2] for x in said[1].split(",")) if said else {}
+
     def query(self, sql: str) -> int:
         if self.latency_s:
             time.sleep(self.latency_s)
-        for mark, fatal in (("MOCK_FATAL", True), ("MOCK_FAIL", False)):
-            if mark in sql:
+        told = self._told(sql)
+        for mark, fatal in (("hangs up", True), ("fails", False)):
+            if mark in told:
                 raise TargetError(f"mock {'fatal ' if fatal else ''}error", fatal)
-        m = re.search(r"MOCK_BYTES=(\d+)", sql)
-        return int(m[1]) if m else len(sql.encode())
+        return int(told.get("bytes") or len(sql.encode()))
 
     def query_checksum(self, sql: str) -> ResultChecksum | None:
-        size = self.query(sql)
-        if "MOCK_NO_RESULT" in sql:
-            return None
-        m = re.search(r"MOCK_ROW=(\w+)", sql)
-        return replace(checksum_rows([(m[1] if m else "row",)], ["c"]), size=size)
+        size, told = self.query(sql), self._told(sql)
+        return None if "no result" in told else replace(checksum_rows([(told.get("row") or "row",)], ["c"]), size=size)
 
 
 class DbApiTarget(Target):
@@ -200,9 +210,48 @@ class _DbApiConnection(Connection):
 SETTINGS, ISOLATION = ("sql_mode", "character_set_server", "collation_server", "innodb_buffer_pool_size"), ("transaction_isolation", "tx_isolation")
 
 
+#: Python drivers that connect alike, and the codes of errors after which a connection is gone.
+DRIVERS, LOST = ("pymysql", "MySQLdb", "mysql.connector"), (1053, 2006, 2013, 2055, 4031)
+
+
+class _MySqlConnect:
+    """Makes connections to the server of a URL; the driver is looked for where the connection is made."""
+
+    def __init__(self, url: str):
+        from urllib.parse import unquote, urlsplit
+
+        scheme, _, rest = url.partition("://")
+        account, at, place = rest.partition("/")[0].rpartition("@")  # a password may have an @
+        user, _, password = account.partition(":")
+        parts = urlsplit(f"{scheme}://{place}")
+        if scheme != "mysql" or not parts.hostname:
+            raise ValueError(f"not a MySQL URL: {redact_url_text(url)}")
+        database = unquote(urlsplit(f"{scheme}://x/{rest.partition('/')[2]}").path.strip("/"))
+        self.settings = {"host": parts.hostname, "port": parts.port or 3306, "user": unquote(user) if at else "", "password": unquote(password)} | ({"database": database} if database else {})
+
+    def __call__(self):
+        import importlib
+
+        for name in DRIVERS:
+            try:
+                driver = importlib.import_module(name)
+            except ModuleNotFoundError:
+                continue
+            made = driver.connect(**self.settings)
+            with contextlib.suppress(Exception):
+                made.autocommit(True)
+            return made
+        raise TargetError("no Python driver for MySQL: " + ", ".join(DRIVERS), True)
+
+
 class MySqlTarget(DbApiTarget):
     """A MySQL or MariaDB server by any driver that makes connections as Python's database interface has them."""
 
+    @classmethod
+    def at(cls, url: str) -> MySqlTarget:
+        """The server of ``mysql://user:password@host:port/database``, by whichever driver there is."""
+        return cls(_MySqlConnect(url), lambda e: bool(e.args) and e.args[0] in LOST)
+
     def _variable(self, cursor, name: str) -> str | None:
         cursor.execute(f"SHOW VARIABLES LIKE '{name}'")
         found = [str(value) for key, value in cursor.fetchall() if key == name]
@@ -316,18 +365,24 @@ class Options:
     filters: ev.Filters = ev.Filters()
     window_text: str | None = None
     abort_uri: str | None = None  # a file whose presence stops the replay
+    read_only: bool = False  # said so; it holds unless writes are allowed
 
     @property
     def speed_label(self) -> str:
-        return "0" if self.speed is None else f"{self.speed:g}"
+        return "max" if self.speed is None else repr(float(self.speed)).removesuffix(".0")
 
 
 def parse_speed(text: str) -> float | None:
-    """0 is as fast as it goes."""
-    speed = float(text.strip().removesuffix("x"))
-    if speed < 0 or speed != speed or speed == float("inf"):
-        raise ValueError(f"not a speed: {text!r}")
-    return speed or None
+    """``max``, which is as fast as it goes, or a positive factor."""
+    if text.lower() == "max":
+        return None
+    try:
+        speed = float(text)
+    except ValueError:
+        speed = -1.0
+    if not 0 < speed < float("inf"):
+        raise ValueError(f"a speed is max or a positive number, not {text!r}")
+    return speed
 
 
 class _Abort:
@@ -364,7 +419,7 @@ class _Connections:
 
 def run_sessions(sessions: Iterable[tuple[int, list[dict]]], target: Target, options: Options, which: int, start: float, threads: int) -> Iterator[dict]:
     """Rows of ``schemas.EXEC_LOG`` for sessions, ``threads`` of them at a time. ``start``: the clock at which the first event is due."""
-    abort, out = _Abort(options.abort_uri), queue.Queue()
+    abort, out = _Abort(options.abort_uri), queue.Queue(4096)  # rows leave as they come
     pool = _Connections(target, options.pool) if options.pool else None
     stay = options.db_override is not None or pool is not None
 
@@ -392,41 +447,39 @@ def run_sessions(sessions: Iterable[tuple[int, list[dict]]], target: Target, opt
         except TargetError as x:
             return row(e, "error", error=truncate_bytes(str(x)), start_us=at), x.fatal
 
-    def session(events: list[dict]) -> list[dict]:
-        rows: list[dict] = []
+    def session(events: list[dict]) -> Iterator[dict]:
         runs = [(options.allow_writes or sqltext.classify_text(e["query"]) == "read") and not (stay and sqltext.is_use_text(e["query"])) for e in events]
         own = None
         for i, (e, goes) in enumerate(zip(events, runs, strict=True)):
             if not goes:
-                rows.append(row(e, "skipped"))
+                yield row(e, "skipped")
                 continue
             while e.get("due_us") is not None and options.speed and not abort() and (wait := start + e["due_us"] / 1e6 - time.time()) > 0:
                 time.sleep(min(wait, 0.2))
             lost = abort()
             if lost:
-                rows.append(row(e, "not_run"))
+                yield row(e, "not_run")
             else:
                 try:
                     held = pool.take() if pool else own or [target.connect(), None]
                 except TargetError as x:
                     if pool:
                         pool.give(None)
-                    rows.append({"pass": which, "session_id": e["session_id"], "outcome": "connect_failure", "error": truncate_bytes(str(x))})
-                    rows.append(row(e, "not_run"))
+                    yield {"pass": which, "session_id": e["session_id"], "outcome": "connect_failure", "error": truncate_bytes(str(x))}
+                    yield row(e, "not_run")
                     held, lost = None, pool is None
                 if held:
                     own = held
                     done, gone = execute(held, e)
-                    rows.append(done)
+                    yield done
                     if pool:
                         pool.give(None if gone else held)
                     lost = gone and not pool  # a pooled session goes on, on another connection
             if lost:
-                rows += [row(x, "not_run") for x in events[i + 1 :]]
+                yield from (row(x, "not_run") for x in events[i + 1 :])
                 break
         if own and not pool:
             own[0].close()
-        return rows
 
     def feed() -> None:
         room = threading.Semaphore(2 * threads)
@@ -435,7 +488,8 @@ def run_sessions(sessions: Iterable[tuple[int, list[dict]]], target: Target, opt
 
                 def one(events):
                     try:
-                        out.put(session(events))
+                        for done in session(events):
+                            out.put(done)
                     except BaseException as x:
                         out.put(x)
                     finally:
@@ -453,7 +507,7 @@ def run_sessions(sessions: Iterable[tuple[int, list[dict]]], target: Target, opt
     while (got := out.get()) is not None:
         if isinstance(got, BaseException):
             raise got
-        yield from got
+        yield got
 
 
 def _grouped(rows: Iterable[dict]) -> Iterator[tuple[int, list[dict]]]:
@@ -472,11 +526,29 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r.get(n) for r in rows], LOG_TYPES[t]) for n, t in LOG_FIELDS], [n for n, _ in LOG_FIELDS])
 
 
-def _task(target: Target, options: Options, which: int, start: float, threads: int):
+def _once(marks: str, which: int, partition: int) -> None:
+    """Fails if the partition's sessions may have run before: an executor that is lost may have executed their writes."""
+    from pyarrow import fs
+
+    files, folder = fs.FileSystem.from_uri(marks)
+    path = f"{folder}/pass-{which}-partition-{partition}"
+    if files.get_file_info(path).type != fs.FileType.NotFound:
+        raise RuntimeError(f"the sessions of partition {partition} have been started before; with writes allowed they are not run again")
+    files.create_dir(folder, recursive=True)
+    files.open_output_stream(path).close()
+
+
+def _task(target: Target, options: Options, which: int, start: float, connections: int, parts: int, marks: str | None):
     def task(batches):
+        from pyspark import TaskContext
+
+        partition = TaskContext.get().partitionId()
+        if marks:
+            _once(marks, which, partition)
+        threads = max(1, connections // parts + (partition < connections % parts))  # all of them together are ``connections``
         rows: list[dict] = []
         events = (r for b in batches for r in b.to_pylist())
-        for r in run_sessions(_grouped(events), target, options, which, start, threads):
+        for r in run_sessions(_grouped(events), target, replace(options, pool=threads) if options.pool else options, which, start, threads):
             rows.append(r)
             if len(rows) == 2000:
                 yield _batch(rows)
@@ -494,6 +566,18 @@ def spool(events: DataFrame, options: Options) -> DataFrame:
     return kept.select("ordinal", "session_id", "db", "query", "fingerprint_id", "due_us")
 
 
+def _from_driver(spark, rows: Iterator[dict], path: str) -> DataFrame:
+    """Writes a log that comes on the driver, some rows at a time."""
+    import itertools
+
+    first = True
+    while (some := list(itertools.islice(rows, DRIVER_ROWS))) or first:
+        table = pa.Table.from_batches([_batch(some)]) if some else _batch([]).schema.empty_table()
+        spark.createDataFrame(table).write.mode("append").parquet(path)
+        first = False
+    return spark.read.schema(schemas.EXEC_LOG).parquet(path)
+
+
 def run_pass(events: DataFrame, target: Target, options: Options, which: int = 0) -> DataFrame:
     """One pass over all sessions; returns its log, which is written.
 
@@ -501,16 +585,15 @@ def run_pass(events: DataFrame, target: Target, options: Options, which: int = 0
     """
     spark = events.sparkSession
     spooled = spool(events, options)
+    connections = options.pool or options.max_connections
     if getattr(target, "on_driver", False):
         rows = (r.asDict() for r in spooled.orderBy("session_id", "ordinal").toLocalIterator(prefetchPartitions=True))
-        log = list(run_sessions(_grouped(rows), target, options, which, time.time(), options.pool or options.max_connections))
-        table = pa.Table.from_batches([_batch(log)]) if log else _batch([]).schema.empty_table()
-        return written(spark.createDataFrame(table), "exec-log")
-    parts = max(1, min(spark.sparkContext.defaultParallelism, options.pool or options.max_connections))
-    each = max(1, (options.pool or options.max_connections) // parts)
-    own = replace(options, pool=each) if options.pool else options
+        return _from_driver(spark, run_sessions(_grouped(rows), target, options, which, time.time(), connections), shared_path(spark, "exec-log"))
+    parts = max(1, min(spark.sparkContext.defaultParallelism, connections))
     dealt = spooled.repartition(parts, "session_id").sortWithinPartitions("session_id", "ordinal")
-    return written(dealt.mapInArrow(_task(target, own, which, time.time() + (1.0 if options.speed else 0.0), each), schemas.EXEC_LOG), "exec-log")
+    marks = shared_path(spark, "started") if options.allow_writes else None
+    marks = f"file://{marks}" if marks and "://" not in marks and marks.startswith("/") else marks
+    return written(dealt.mapInArrow(_task(target, options, which, time.time() + (1.0 if options.speed else 0.0), connections, parts, marks), schemas.EXEC_LOG), "exec-log")
 
 
 def abort_file(spark) -> str:

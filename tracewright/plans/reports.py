@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright import __version__, schemas
+from tracewright.functions.scalars import redact_url_text
 from tracewright.operators import events as ev
 from tracewright.operators import passes, runs
 from tracewright.plans import replay as rp
 from tracewright.sources.capture import Capture
+from tracewright.storage import open_output
 
 TOOL = "tracewright"
 FLAGS = ("max_connections", "allow_writes", "read_only", "db_override", "speed", "checksum", "pool", "warmup", "filter_db", "filter_user", "time_window")
@@ -27,7 +29,7 @@ def rfc3339(us: int) -> str:
 
 def _flags(options: rp.Options) -> dict:
     f = options.filters
-    values = (options.max_connections, options.allow_writes, not options.allow_writes, options.db_override, options.speed_label, options.checksum, options.pool, options.warmup, f.db, f.user, options.window_text)
+    values = (options.max_connections, options.allow_writes, options.read_only, options.db_override, options.speed_label, options.checksum, options.pool, options.warmup, f.db, f.user, options.window_text)
     return dict(zip(FLAGS, values, strict=True))
 
 
@@ -130,7 +132,7 @@ def replay_report(capture: Capture, path: str, target: rp.Target, options: rp.Op
         "capture_file": path,
         "capture_dialect": capture.summary["source_dialect"],
         "latency_source": schemas.REPLAYED,
-        "target_url": url,
+        "target_url": redact_url_text(url),
         "target_server_version": target.version(),
         "target_settings": target.settings(),
     }
@@ -148,9 +150,8 @@ def replay_report(capture: Capture, path: str, target: rp.Target, options: rp.Op
 
 def write_report(report: dict, path: str) -> None:
     """K2."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(report, f, indent=2, ensure_ascii=False)
-        f.write("\n")
+    with open_output(path) as f:
+        f.write(json.dumps(report, indent=2, ensure_ascii=False).encode() + b"\n")
 
 
 def pass_path(path: str, k: int) -> str:

@@ -10,6 +10,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewright.functions import hdr, scalars, sqltext
@@ -315,7 +316,9 @@ def fp_checksum(spark, d):
 
 
 # --- comparisons ----------------------------------------------------------------------------------------------------------------------
-# Classes are an event type and the parity of the event; the candidate is the baseline with latencies times a factor, without one class and with another.
+# Classes are an event type and the parity of the event; the candidate is the baseline with latencies times a factor, without one class and with
+# another. Signups of one size are fast in the baseline and three times as slow in the candidate, which their class's latencies do not show, and the
+# candidate has more errors among them.
 
 FACTOR = "CASE event_type WHEN 'click' THEN 3.0 WHEN 'purchase' THEN 0.5 WHEN 'view' THEN 1.05 ELSE 1.0 END"
 CLASS = "event_type || CASE WHEN event_id % 2 = 0 THEN ' even' ELSE ' odd' END || CASE WHEN event_id % 997 = 3 THEN ' rare' ELSE '' END"
@@ -331,13 +334,15 @@ SIDE = """{name}_log AS (SELECT {cls} AS fingerprint, {outcome} AS outcome, grea
 def _side_sql(name: str, factor: str, where: str) -> str:
     cls = CLASS if name == "b" else f"CASE WHEN event_type = 'error' THEN 'new ' ELSE '' END || {CLASS}"
     return SIDE.format(
-        name=name, cls=cls, outcome=OUTCOME, factor=factor, sizes=SIZES, where=where, label=LABEL.format("result_bytes"), stats=STATS, p50=quantile_sql(0.5, "p50_us"), p95=quantile_sql(0.95, "p95_us"),
+        name=name, cls=cls, outcome=OUTCOME if name == "b" else MORE_ERRORS, factor=factor, sizes=SIZES, where=where, label=LABEL.format("result_bytes"), stats=STATS, p50=quantile_sql(0.5, "p50_us"), p95=quantile_sql(0.95, "p95_us"),
         cells=cells_sql(f"{name}_ok", "fingerprint", "latency_us"), dcells=cells_sql(f"{name}_ok", "fingerprint, bucket", "latency_us"),
     )
 
 
-SLOW_DECADE = f"{FACTOR} * CASE WHEN event_type = 'signup' AND event_id % 7 = 3 THEN 4.0 ELSE 1.0 END"
-PAIR = "WITH " + _side_sql("b", "1.0", "true") + ", " + _side_sql("c", SLOW_DECADE, "event_type <> 'view' OR event_id % 2 = 0")
+FAST_DECADE = "CASE WHEN event_type = 'signup' AND event_id % 7 = 3 THEN 0.1 ELSE 1.0 END"
+SLOW_DECADE = f"{FACTOR} * CASE WHEN event_type = 'signup' AND event_id % 7 = 3 THEN 0.3 ELSE 1.0 END"
+MORE_ERRORS = f"CASE WHEN event_type = 'signup' AND event_id % 10 = 3 THEN 'error' ELSE {OUTCOME} END"
+PAIR = "WITH " + _side_sql("b", FAST_DECADE, "true") + ", " + _side_sql("c", SLOW_DECADE, "event_type <> 'view' OR event_id % 2 = 0")
 PCT = "CASE WHEN {0} > 0 THEN ({1} - {0})::DOUBLE / {0} * 100 END"
 DELTAS = (
     PAIR
@@ -354,11 +359,11 @@ def _classes(spark, d, side: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
     e = e if side == "b" else e.where("event_type <> 'view' OR event_id % 2 = 0")
     cls = F.expr(CLASS) if side == "b" else F.concat(F.when(F.col("event_type") == "error", "new ").otherwise(""), F.expr(CLASS))
-    factor = F.lit(1.0) if side == "b" else F.expr(SLOW_DECADE).cast("double")
+    factor = F.expr(FAST_DECADE if side == "b" else SLOW_DECADE).cast("double")
     log = e.select(
         F.col("event_id").alias("ordinal"),
         cls.alias("fingerprint_id"),
-        F.expr(OUTCOME).alias("outcome"),
+        F.expr(OUTCOME if side == "b" else MORE_ERRORS).alias("outcome"),
         F.greatest(F.round(F.col("value") * factor * 1000).cast("long"), F.lit(1).cast("long")).alias("latency_us"),
         F.expr(SIZES).cast("long").alias("result_bytes"),
         F.lit(None).cast("string").alias("error"),
@@ -371,11 +376,20 @@ def _deltas(spark, d) -> DataFrame:
     return compare.deltas(_classes(spark, d, "b"), _classes(spark, d, "c"))
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """With ``place``, from 1, in the order that ``df`` has."""
+    return df.withColumn("_at", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(W.orderBy("_at"))).drop("_at")
+
+
 def _flat(df: DataFrame) -> DataFrame:
-    return df.select("fingerprint", "baseline_count", "candidate_count", "verdict", F.col("p95.delta_us").alias("p95_delta_us"), F.col("p95.delta_pct").alias("p95_pct"))
+    return _placed(df).select("place", "fingerprint", "baseline_count", "candidate_count", "verdict", F.col("p95.delta_us").alias("p95_delta_us"), F.col("p95.delta_pct").alias("p95_pct"))
+
 
+FLAT = "SELECT row_number() OVER (ORDER BY {order}) AS place, fingerprint, baseline_count, candidate_count, verdict, (c95 - b95)::DOUBLE AS p95_delta_us, p95_pct FROM v"
 
-FLAT = "SELECT fingerprint, baseline_count, candidate_count, verdict, (c95 - b95)::DOUBLE AS p95_delta_us, p95_pct FROM v"
+
+def _flat_sql(verdict: str, order: str) -> str:
+    return f"{DELTAS} {FLAT.format(order=order)} WHERE verdict = '{verdict}'"
 
 
 @query(DELTAS + " SELECT fingerprint, baseline_count, candidate_count, count_mismatch, error_delta, b50::DOUBLE AS p50_baseline, c50::DOUBLE AS p50_candidate, p50_pct, p95_pct, bytes_pct FROM v")
@@ -388,22 +402,22 @@ def verdict_classes(spark, d):
     return _deltas(spark, d).select("fingerprint", "verdict")
 
 
-@query(DELTAS + FLAT.join([" ", " WHERE verdict = 'regressed'"]))
+@query(_flat_sql("regressed", "p95_pct DESC NULLS FIRST, c95 - b95 DESC, fingerprint"))
 def regressions_ranked(spark, d):
     return _flat(compare.regressions(_deltas(spark, d)))
 
 
-@query(DELTAS + FLAT.join([" ", " WHERE verdict = 'improved'"]))
+@query(_flat_sql("improved", "p95_pct, c95 - b95, fingerprint"))
 def improvements_ranked(spark, d):
     return _flat(compare.improvements(_deltas(spark, d)))
 
 
-@query(DELTAS + FLAT.join([" ", " WHERE verdict = 'low_sample'"]))
+@query(_flat_sql("low_sample", "coalesce(p95_pct, 0) DESC, fingerprint"))
 def low_sample_ranked(spark, d):
     return _flat(compare.low_sample(_deltas(spark, d)))
 
 
-@query(DELTAS + FLAT.join([" ", " WHERE verdict = 'stable'"]))
+@query(_flat_sql("stable", "b95 DESC, baseline_count DESC, fingerprint"))
 def stable_classes(spark, d):
     return _flat(compare.stable(_deltas(spark, d)))
 
@@ -413,28 +427,36 @@ def error_changes(spark, d):
     return compare.error_changes(_deltas(spark, d)).select("fingerprint", "error_delta")
 
 
-@query(PAIR + " SELECT fingerprint, count, errors FROM b WHERE fingerprint NOT IN (SELECT fingerprint FROM c)")
+@query(PAIR + " SELECT row_number() OVER (ORDER BY count DESC, fingerprint) AS place, fingerprint, count, errors FROM b WHERE fingerprint NOT IN (SELECT fingerprint FROM c)")
 def only_in_baseline(spark, d):
-    return compare.only_in(_classes(spark, d, "b"), _classes(spark, d, "c"))
+    return _placed(compare.only_in(_classes(spark, d, "b"), _classes(spark, d, "c")))
 
 
-@query(PAIR + " SELECT fingerprint, count, errors FROM c WHERE fingerprint NOT IN (SELECT fingerprint FROM b)")
+@query(PAIR + " SELECT row_number() OVER (ORDER BY count DESC, fingerprint) AS place, fingerprint, count, errors FROM c WHERE fingerprint NOT IN (SELECT fingerprint FROM b)")
 def only_in_candidate(spark, d):
-    return compare.only_in(_classes(spark, d, "c"), _classes(spark, d, "b"))
+    return _placed(compare.only_in(_classes(spark, d, "c"), _classes(spark, d, "b")))
 
 
-@query(DELTAS + " SELECT fingerprint, bucket, baseline_count, candidate_count, p95_pct FROM dd WHERE verdict <> 'regressed' AND (p95_pct >= 20 OR p95_pct IS NULL AND c95 > 0)")
+@query(DELTAS + " SELECT row_number() OVER (ORDER BY p95_pct DESC NULLS FIRST, c95 - b95 DESC, fingerprint, bucket) AS place, fingerprint, bucket, baseline_count, candidate_count, p95_pct FROM dd WHERE verdict <> 'regressed' AND (p95_pct >= 20 OR p95_pct IS NULL AND c95 > 0)")
 def size_regressions(spark, d):
     pairs = compare.decade_pairs(_deltas(spark, d))
-    return compare.size_regressions(pairs).select("fingerprint", "bucket", "baseline_count", "candidate_count", F.col("p95.delta_pct").alias("p95_pct"))
+    return _placed(compare.size_regressions(pairs)).select("place", "fingerprint", "bucket", "baseline_count", "candidate_count", F.col("p95.delta_pct").alias("p95_pct"))
 
 
-@query(DELTAS + ", l AS (SELECT count(*) AS size_buckets_checked, count(*) FILTER (WHERE verdict <> 'regressed' AND p95_pct >= 20) > 0 AS size_regressed FROM dd) SELECT count(*) FILTER (WHERE count_mismatch) AS count_mismatches, sum(error_delta)::BIGINT AS error_delta, bool_or(verdict = 'regressed') AS regressed, any_value(size_buckets_checked) AS size_buckets_checked, any_value(size_regressed) AS size_regressed, 2 AS exit_code FROM v, l")
+@query(DELTAS + ", l AS (SELECT count(*) AS size_buckets_checked, count(*) FILTER (WHERE verdict <> 'regressed' AND (p95_pct >= 20 OR p95_pct IS NULL AND c95 > 0)) > 0 AS size_regressed FROM dd) SELECT count(*) FILTER (WHERE count_mismatch) AS count_mismatches, sum(error_delta)::BIGINT AS error_delta, bool_or(verdict = 'regressed') AS regressed, any_value(size_buckets_checked) AS size_buckets_checked, any_value(size_regressed) AS size_regressed, CASE WHEN bool_or(verdict = 'regressed') OR any_value(size_regressed) THEN 2 ELSE 0 END AS exit_code FROM v, l")
 def gate_exit_code(spark, d):
     x = _deltas(spark, d)
     return compare.summary(x, compare.decade_pairs(x), compare.correctness(x)).select("count_mismatches", "error_delta", "regressed", "size_buckets_checked", "size_regressed", "exit_code")
 
 
+@query("SELECT 0::BIGINT AS count_mismatches, 0::BIGINT AS error_delta, false AS regressed, false AS size_regressed, 0 AS exit_code")
+def gate_equal_runs(spark, d):
+    """A run against itself passes the gate."""
+    one = _classes(spark, d, "b")
+    x = compare.deltas(one, one)
+    return compare.summary(x, compare.decade_pairs(x), compare.correctness(x)).select("count_mismatches", "error_delta", "regressed", "size_regressed", "exit_code")
+
+
 @query("""WITH b AS (SELECT n_name AS name, 'v' || n_regionkey AS value FROM nation WHERE n_nationkey < 20), c AS (SELECT n_name AS name, CASE WHEN n_nationkey % 4 = 0 THEN 'changed' ELSE 'v' || n_regionkey END AS value FROM nation WHERE n_nationkey >= 5)
 SELECT name, b.value AS baseline, c.value AS candidate FROM b FULL JOIN c USING (name) WHERE b.value IS DISTINCT FROM c.value""")
 def settings_diff(spark, d):
@@ -447,13 +469,13 @@ def settings_diff(spark, d):
 
 def _run(spark, **changes) -> DataFrame:
     """One run report, of the flags and identity that comparability looks at."""
-    flags = dict(max_connections=50, allow_writes=False, read_only=False, db_override=None, speed="0", checksum=False, pool=None, warmup=False, filter_db=None, filter_user=None, time_window=None) | changes.pop("flags", {})
+    flags = dict(max_connections=50, allow_writes=False, read_only=False, db_override=None, speed="max", checksum=False, pool=None, warmup=False, filter_db=None, filter_user=None, time_window=None) | changes.pop("flags", {})
     kinds = "capture_file string, capture_dialect string, target_server_version string, latency_source string, aborted boolean, flags struct<max_connections: long, allow_writes: boolean, read_only: boolean, db_override: string, speed: string, checksum: boolean, pool: long, warmup: boolean, filter_db: string, filter_user: string, time_window: string>"
     run = dict(capture_file="a", capture_dialect="mysql-8.0", target_server_version="8.0.33", latency_source="replayed", aborted=False) | changes
     return spark.createDataFrame([(*run.values(), tuple(flags.values()))], kinds)
 
 
-@query("SELECT * FROM (VALUES ('speed', '0', '1'), ('pool', '<none>', '8'), ('filter-db', '<none>', 'shop')) AS t(name, baseline, candidate)")
+@query("SELECT * FROM (VALUES ('speed', 'max', '1'), ('pool', '<none>', '8'), ('filter-db', '<none>', 'shop')) AS t(name, baseline, candidate)")
 def flag_diff(spark, d):
     return compare.flag_diff(_run(spark), _run(spark, flags={"speed": "1", "pool": 8, "filter_db": "shop"}))
 
@@ -551,10 +573,10 @@ def fmt_bytes(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", scalars.fmt_bytes(k * k * 17 + 3).alias("size"))
 
 
-@query("""SELECT event_id, printf('%.3f', (event_id * 7)::DOUBLE / 1000) AS ms, CASE WHEN event_id % 4 = 0 THEN 'n/a' ELSE printf('%+.1f%%', (event_id - 5000)::DOUBLE / 4) END AS pct FROM events WHERE event_id % 2 = 0""")
+@query("""SELECT event_id, printf('%.3f', (event_id * 7)::DOUBLE / 1000) AS ms, CASE WHEN event_id % 4 = 0 THEN 'n/a' ELSE printf('%+.1f%%', (event_id - 5000)::DOUBLE / 4) END AS pct FROM events""")
 def fmt_ms_pct(spark, d):
     i = F.col("event_id")
-    return spark.read.parquet(f"{d}/events.parquet").where("event_id % 2 = 0").select("event_id", scalars.fmt_ms(i * 7).alias("ms"), scalars.fmt_pct(F.when(i % 4 != 0, (i - 5000).cast("double") / 4)).alias("pct"))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", scalars.fmt_ms(i * 7).alias("ms"), scalars.fmt_pct(F.when(i % 4 != 0, (i - 5000).cast("double") / 4)).alias("pct"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '…' ELSE text END AS text FROM documents")

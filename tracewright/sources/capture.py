@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tracewright import __version__, schemas
 from tracewright.operators import events as ev
+from tracewright.storage import open_output
 
 FORMAT_VERSION = 1
 
@@ -74,19 +75,19 @@ def read_capture(spark: SparkSession, path: str, materialize: bool = False) -> C
 
 
 def write_capture(events: DataFrame, path: str, source_dialect: str = "unknown", admin_commands: int = 0, restarts: int = 0, pcap: dict | None = None) -> dict:
-    """K1: writes ``events`` (without ids) as a capture file at a local path, in order of ordinal, and returns the summary.
+    """K1: writes ``events`` (without ids) as a capture file at a path or URI, in order of ordinal, and returns the summary.
 
     Classes are numbered in the cluster; lines then stream through the driver, a partition at a time, as the format is one file.
     """
-    named = ev.with_fingerprint_id(events)
-    dim = [r.asDict() for r in ev.fingerprint_dim(ev.with_fingerprint(events)).orderBy("id").collect()]
+    named, classes = ev.classified(events)
+    dim = [r.asDict() for r in classes.orderBy("id").collect()]
     counted = ev.capture_summary(events).first()
     summary = {"source_dialect": source_dialect, "event_count": counted.event_count, "session_count": counted.session_count, "admin_commands_ignored": admin_commands, "server_restarts_seen": restarts}
     if pcap:
         summary["pcap"] = pcap
     columns = [c.split()[0] for c in schemas.EVENT.split(", ")]
     lines = named.orderBy("ordinal").select(F.to_json(F.struct(F.lit("event").alias("type"), *columns)).alias("line"))
-    with pa.CompressedOutputStream(pa.OSFile(path, "wb"), "zstd") as out:
+    with pa.CompressedOutputStream(open_output(path), "zstd") as out:
         say = lambda x: out.write(json.dumps(x, ensure_ascii=False).encode() + b"\n")
         say({"type": "header", "version": FORMAT_VERSION, "tool_version": __version__, "created_at": datetime.now(UTC).isoformat().replace("+00:00", "Z")})
         for row in lines.toLocalIterator(prefetchPartitions=True):

@@ -13,12 +13,12 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from tracewright.sources.mysql_wire import CLIENT, SERVER, Connection
 from tracewright.sources.slowlog import _File
+from tracewright.storage import numbered, written
 
 PACKET = "file string, pkt long, ts_micros long, flow string, side int, seq long, syn boolean, fin boolean, ack boolean, rst boolean, payload binary, truncated boolean, fragment boolean"
 DECODED = (
@@ -354,13 +354,16 @@ def decode(read: DataFrame) -> DataFrame:
 
 
 def events_of(decoded: DataFrame) -> DataFrame:
-    """Statements as events, in the order in which their responses came. W9: a thread id is the session of the first connection that has it."""
-    found = decoded.where("kind = 'event'").withColumn("ordinal", F.col("emitted") * (1 << 20) + F.col("at"))
-    conns = found.groupBy("file", "flow", "conn").agg(F.min("ordinal").alias("first"), F.first("thread").alias("thread"))
-    order = W.orderBy("first", "flow")
-    own = (F.row_number().over(W.partitionBy("thread").orderBy("first", "flow")) == 1) & F.col("thread").isNotNull()
-    ids = conns.withColumn("own", own).withColumn("session_id", F.when(F.col("own"), F.col("thread")).otherwise(SYNTHETIC - 1 + F.sum(F.when(F.col("own"), 0).otherwise(1)).over(order)))
-    events = found.join(ids.select("file", "flow", "conn", "session_id"), ["file", "flow", "conn"])
+    """Statements as events, in the order in which their responses came, file by file. W9: a thread id is the session of the first
+    connection that has it; other connections are numbered from SYNTHETIC, in order."""
+    found = decoded.where("kind = 'event'")
+    key = ["file", "flow", "conn"]
+    conns = found.groupBy(*key).agg(F.min(F.struct("emitted", "at")).alias("first"), F.first("thread").alias("thread"))
+    conns = written(conns.select(*key, F.struct("file", "first", "flow", "conn").alias("begin"), "thread"), "connections")
+    owners = conns.where("thread IS NOT NULL").groupBy("thread").agg(F.min("begin").alias("begin"))
+    own = conns.join(owners.hint("merge"), ["thread", "begin"]).select(*key, F.col("thread").alias("session_id"))
+    rest = numbered(conns.join(own.select(*key).hint("merge"), key, "left_anti"), ["begin"], "place").select(*key, (F.lit(SYNTHETIC) + F.col("place")).alias("session_id"))
+    events = numbered(found, ["file", "emitted", "at"], "ordinal").join(own.unionByName(rest).hint("merge"), key)
     return events.select("ordinal", "ts_micros", "session_id", "user", "db", "query", F.col("latency_s").alias("orig_query_time_s"))
 
 
