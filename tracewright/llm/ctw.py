@@ -317,22 +317,22 @@ def _answer(depth: int, top: np.ndarray):
 
 
 def _lookup(keys: np.ndarray, values: np.ndarray):
-    """A function from grams, all of which are among ``keys``, to their values: one read of a hash table for nearly all."""
+    """A function from grams, all of which are among ``keys``, to their values: one read of a hash table of places for nearly all."""
     bits = max(16, int(len(keys)).bit_length() + 4)
     slot = lambda k: ((k * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)).astype(np.int64)
     slots = slot(keys)
-    cells = np.zeros(1 << bits)
-    cells[slots] = values
+    cells = np.full(1 << bits, -1, np.int32)
+    cells[slots] = np.arange(len(keys), dtype=np.int32)
     taken, n = np.unique(slots, return_counts=True)
-    cells[taken[n > 1]] = np.nan
+    cells[taken[n > 1]] = -1
     order = np.argsort(keys)
-    ordered, aligned = keys[order], values[order]
+    ordered = keys[order]
 
     def find(k: np.ndarray) -> np.ndarray:
-        out = cells[slot(k)]
-        miss = np.flatnonzero(np.isnan(out))
-        out[miss] = aligned[np.searchsorted(ordered, k[miss])]
-        return out
+        at = cells[slot(k)]
+        miss = np.flatnonzero(at < 0)
+        at[miss] = order[np.searchsorted(ordered, k[miss])]
+        return values[at]
 
     return find
 
